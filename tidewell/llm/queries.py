@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tidewell.llm.canonical import mapped_values
 from tidewell.llm.cutoff import kept_signals
 from tidewell.llm.leakage import leaked_items, removal_spans
 from tidewell.llm.packing import packed_documents
+from tidewell.llm.pairs import defective_answers
+from tidewell.llm.reading import reading_levels
+from tidewell.llm.variants import linked_answers
 from tidewell.plans.registry import Registry
 from tidewell.sources import load
 
 plans = Registry()
 
+@plans.query("p5_found")
+def p5_found(spark, folder):
+    return defective_answers(load(spark, folder, "answers"))
+
+
 _CUTOFF_SQL = """
     WITH s AS (SELECT DISTINCT source, signal_id, score FROM p_plus20_current WHERE score IS NOT NULL AND NOT isnan(score)),
     r AS (SELECT *, count(*) OVER (PARTITION BY source ORDER BY score DESC) AS kept, count(*) OVER (PARTITION BY source) AS n FROM s),
@@ -28,6 +39,18 @@ def p6_cutoffs(spark, folder):
     return kept_signals(load(spark, folder, "p_plus20_current"), load(spark, folder, "score_targets"))[1]
 
 
+@plans.query("p2_found")
+def p2_found(spark, folder):
+    return linked_answers(load(spark, folder, "answers"), load(spark, folder, "answer_key"), load(spark, folder, "universe"))
+
+
+@plans.query("p3_found")
+def p3_found(spark, folder):
+    aliases = load(spark, folder, "alias_golden").where("kind is null").select("alias_id", "name").distinct()
+    mapped = mapped_values(aliases, load(spark, folder, "universe"))
+    return aliases.join(mapped, "name", "left").select("alias_id", F.coalesce("cik", F.lit("unmatched")).alias("cik"))
+
+
 @plans.query("p7_containers")
 def p7_containers(spark, folder):
     return packed_documents(load(spark, folder, "documents"))
@@ -47,6 +70,20 @@ def p8_removal_spans(spark, folder):
     return removal_spans(_leaks(spark, folder))
 
 
+@plans.query("p9_reading_level")
+def p9_reading_level(spark, folder):
+    return reading_levels(load(spark, folder, "documents"), load(spark, folder, "reading_labels"))
+
+
+@plans.query("p9_source_profile")
+def p9_source_profile(spark, folder):
+    """How demanding the texts of each source are."""
+    levels = p9_reading_level(spark, folder)
+    return levels.groupBy("source").agg(
+        F.count("grade").alias("documents"), F.avg("grade").alias("mean_grade"),
+        F.percentile_approx("grade", 0.5, 1000).alias("median_grade"), F.percentile_approx("grade", 0.9, 1000).alias("p90_grade"))
+
+
 def queries():
     return dict(plans.queries)
 
