@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.names import HEDGES, NOTHING, Name, acceptable, acronyms, fit, lcs_likeness, parse, plain, spelled, split_words, unglued
 from tidewell.llm.names import _BRACKET as BRACKET
 from tidewell.llm.names import PLACES
+from tidewell.operators.bounded import join_bounded
 
 _KEYS = "id long, key string, refined string"
 
@@ -133,7 +134,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["value", "entity", "score"])
 
 
-def linked_names(typed: DataFrame, reference: DataFrame, *, common: int = 40, hopeless: int = 2_000,
+def linked_names(typed: DataFrame, reference: DataFrame, *, common: int = 40, hopeless: int = 400,
                  margin: float = 0.02, least: float = 0.2) -> DataFrame:
     """(value, entity): the entity that each distinct typed ``value`` means.
 
@@ -165,11 +166,12 @@ def linked_names(typed: DataFrame, reference: DataFrame, *, common: int = 40, ho
     asked = values.select("id", "value").mapInArrow(lambda it: _emit(it, lambda row: query_keys(row[1])), _KEYS)
     asked = asked.select("id", F.explode(F.array_distinct(F.array("key", "refined"))).alias("block"))
     pairs = asked.join(keys, "block").select("id", "name_id").distinct()
-    ready = (
-        pairs.join(values, "id")
-        .join(names.select(F.col("id").alias("name_id"), "entity", "name", F.transform("tickers", F.lower).alias("tickers")), "name_id")
-        .select("value", "entity", "name", "tickers")
-    )
+    # All candidates of one typed value lie together, so that it is read once.
+    together = pairs.repartition("id").join(values, "id")
+    ready = join_bounded(
+        together, names.select(F.col("id").alias("name_id"), "entity", "name", F.transform("tickers", F.lower).alias("tickers")),
+        "name_id", "inner", max_rows=100_000,
+    ).select("value", "entity", "name", "tickers").sortWithinPartitions("value")
     scored = ready.mapInArrow(_score, "value string, entity string, score double").groupBy("value", "entity").agg(F.max("score").alias("score"))
     place = Window.partitionBy("value").orderBy(F.desc("score"), "entity")
     ranked = scored.withColumn("place", F.row_number().over(place)).withColumn("next", F.lead("score").over(place))
