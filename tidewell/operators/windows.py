@@ -33,10 +33,6 @@ class RunningQuantile:
             heapq.heappush(self.low, -heapq.heappop(self.high))
         while len(self.low) > want:
             heapq.heappush(self.high, -heapq.heappop(self.low))
-        if self.high and -self.low[0] > self.high[0]:
-            a, b = heapq.heapreplace(self.low, -self.high[0]), self.high[0]
-            heapq.heapreplace(self.high, -a)
-            assert b is not None
 
     @property
     def value(self) -> float:

@@ -1,8 +1,8 @@
 """Registered queries of the core, by module."""
 
-from tidewell.plans import known_at
+from tidewell.plans import grouping, joining, known_at, statistics, store, texts, windowing
 
-MODULES = (known_at,)
+MODULES = (known_at, store, joining, windowing, grouping, statistics, texts)
 
 
 def queries():
