@@ -34,12 +34,13 @@ class Dictionary:
 
     def __init__(self, rows: list[tuple[str, str, str | None]]) -> None:
         self.lexicon = Lexicon(rows)
-        hashes, owners = [], []
+        hashes, owners, self.longest = [], [], 0
         for i, company in enumerate(self.lexicon.companies):
             words = set(company.name.stems)
             if len(company.name.stems) > 1:
                 words.add("".join(company.name.stems))
             for word in words:
+                self.longest = max(self.longest, len(word))
                 for form in deletes(word, _edits(word) if len(word) < 18 else 1):
                     hashes.append(hash_of(form))
                     owners.append(i)
@@ -48,6 +49,8 @@ class Dictionary:
         self.owners = np.array(owners, np.int32)[order]
 
     def lookup(self, word: str) -> set[int]:
+        if len(word) > self.longest + 2:  # no reference word is within two edits
+            return set()
         forms = np.array([hash_of(f) for f in deletes(word, _edits(word) if len(word) < 18 else 1)], np.int64)
         low, high = np.searchsorted(self.hashes, forms, "left"), np.searchsorted(self.hashes, forms, "right")
         return {int(o) for a, b in zip(low, high) for o in self.owners[a:b]}

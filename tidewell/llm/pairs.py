@@ -91,7 +91,9 @@ def features(question: str | None, answer: str | None, kind: str, counts: np.nda
     out = [f"len{_level(len(said), (0, 1, 2, 4, 8, 16, 32))}", "bias"]
     bare_text = low.strip(" .!\"'()[]{}<>*_")
     nothing = not any(c.isalnum() for c in text) or bool(_UNSAID.fullmatch(bare_text)) or bare_text in PLACEHOLDERS or low in PLACEHOLDERS
-    if nothing and not (kind == "recall" and bare_text in ("nothing", "none")):
+    if kind == "recall" and bare_text in ("nothing", "none"):
+        out.append("naught")
+    elif nothing:
         out.append("void")
     pool, fresh = Counter(asked), 0
     for t in said:
@@ -287,8 +289,9 @@ def _label(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         keys, *texts = [c.to_pylist() for c in batch.columns]
         rows = [features(q, a, k, model.counts, model.total) for q, a, k in zip(*texts)]
         labels = model.label(rows) if rows else []
-        void = xxhash.xxh3_64_intdigest("void") & ((1 << WEIGHT_BITS) - 1)
-        labels = ["empty" if void in r else label for r, label in zip(rows, labels)]
+        # What nothing means is settled by rule, not by weight.
+        void, naught = (xxhash.xxh3_64_intdigest(f) & ((1 << WEIGHT_BITS) - 1) for f in ("void", "naught"))
+        labels = ["empty" if void in r else None if naught in r else label for r, label in zip(rows, labels)]
         found = [(k, label) for k, label in zip(keys, labels) if label]
         columns = list(zip(*found)) or [()] * 2
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string())], names=["answer_id", "defect_type"])

@@ -203,7 +203,7 @@ def grader_of(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000)
         return None
     if total > max_labels:
         target = target.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * max_labels / total))
-    chosen = documents.join(F.broadcast(target), "doc_id").select("doc_id", "text", "source", "y")
+    chosen = documents.select("doc_id", "text", "source").join(F.broadcast(target), "doc_id")  # at most max_labels rows
     measured = chosen.select("doc_id", "text").mapInArrow(_measured, "doc_id long, x array<double>")
     rows = measured.join(F.broadcast(target), "doc_id").join(F.broadcast(chosen.select("doc_id", F.coalesce("source", F.lit("")).alias("source")).distinct()), "doc_id")
     got = rows.select("doc_id", "x", "y", "source").orderBy("doc_id").toPandas()
