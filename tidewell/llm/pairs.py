@@ -22,6 +22,7 @@ PLACEHOLDERS = frozenset("null none nan nil n/a na tbd todo tba unknown pending
 ENGLISH = frozenset(
     "the of and to in a is that it for was on are with as by at be this from or an which not have has had but its their were would will "
     "after before when who what if because near only than twice should could into about there where".split())
+_HANGING = frozenset("the a an of to in on for with as by at from and or but its their his her is are was were be been because although while since if that than which who whose into beside near due".split())
 FOREIGN = {
     "de": "der die das und den dem ein eine einer nicht mit sich auf für von ist wird werden bei nach wegen durch keine oder zum zur im",
     "fr": "le la les des du un une dans est et pour sur avec par aux cette ce qui que pas ses sont après sans leur au",
@@ -53,7 +54,7 @@ _SCRIPTS = ((0x4E00, 0x9FA5), (0x3041, 0x3096), (0xAC00, 0xD7A3), (0x0430, 0x044
 _TAIL = ("", "", "Please consult a professional.", "Please consult a licensed adviser.", "You could look at other sources instead.", "Is there something else I can help with?", "Let me know if I may assist with anything else.")
 
 _TOKEN = re.compile(r"\w+(?:['’]\w+)?|[^\w\s]")
-_UNSAID = re.compile(r"(?:no|not|without) (?:an? )?(?:answer|response|reply|text|data|value|output)(?: (?:given|provided|available|found|supplied|recorded|yet))?")
+_UNSAID = re.compile(r"(?:no|not|without) (?:an? )?(?:answer|response|reply|text|data|value|output)(?: (?:given|provided|available|found|supplied|recorded|yet))?|(?:answer|response|reply|clue|rationale|reason|recalled|output|a) ?:?")
 _QUOTED = re.compile(r"[“\"«][^”\"»]{0,400}[”\"»]")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
@@ -111,7 +112,7 @@ def features(question: str | None, answer: str | None, kind: str, counts: np.nda
     closed = bool(bare) and bare[-1] in ".!?”\"')"
     while bare and bare[-1] in ".!?”\"'":
         bare.pop()
-    out.append(f"closed{closed}")
+    out += [f"closed{closed}", f"hangs{bool(bare) and bare[-1] in _HANGING}", f"hangs{bool(bare) and bare[-1] in _HANGING}{closed}"]
     for n in (1, 2, 3, 4):
         out += [f"end{n}" + " ".join(padded[-n:]), f"stop{n}{'.' if closed else ''}" + " ".join(bare[-n:])]
     last = next(((t, n) for t, n in zip(reversed(tokens), reversed(df)) if t[0].isalpha()), ("", total))
@@ -141,10 +142,9 @@ class Model:
         return _forward(self.weights, *_csr(rows))
 
     def label(self, rows: list[list[int]]) -> list[str | None]:
-        """The label that exceeds its threshold most clearly, if any does."""
-        margin = self.scores(rows) - self.thresholds
-        best = margin.argmax(axis=1)
-        return [LABELS[b] if m[b] > 0 else None for m, b in zip(margin, best)]
+        """The first label, in the order of ``LABELS``, that exceeds its threshold; None if none does."""
+        over = self.scores(rows) > self.thresholds
+        return [LABELS[int(o.argmax())] if o.any() else None for o in over]
 
 
 def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
