@@ -46,7 +46,8 @@ def plain_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]+>", " ")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t ]+", " "), r" ?\n[ \n]*", "\n"))
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\u00A0]+", " "), r" ?\n[ \n]*", "\n")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def largest_number(text: Column) -> Column:
