@@ -41,6 +41,18 @@ def test_variants_link_to_companies(spark):
     assert got == {t: k for t, k in TYPED.items() if k}
 
 
+def linked(spark, names, typed):
+    reference = spark.createDataFrame([(str(i), n, []) for i, n in enumerate(names)], "entity string, name string, tickers array<string>")
+    return {r["value"]: names[int(r["entity"])] for r in linked_names(spark.createDataFrame([(t,) for t in typed], "value string"), reference).collect()}
+
+
+def test_a_word_that_many_names_share_links(spark):
+    odd = ["Harbor Mining Inc", "Theodore Harbor Foods Inc", "Harbor & Sons Co"]
+    names = odd + [f"Harbor {c}{v}zzen{d}ik Foods Inc" for c in "bcdfghklmnprstvw" for v in "aeiou" for d in "bdgklt"]
+    typed = {"Harbor Mining Inc": odd[0], "harbro mining": odd[0], "Ted Harbor Foods": odd[1], "Harbor and Sons": odd[2], names[-1]: names[-1], "Harbor Energy": None}
+    assert linked(spark, names, typed) == {t: n for t, n in typed.items() if n}
+
+
 def test_answers_link_to_items(spark):
     answers = spark.createDataFrame(
         [(1, "Gebrindal Waithould", ["DRMP", None, "who knows"], 9), (1, "Gebrindal Waithould", ["DRMP", None, "who knows"], 9), (2, None, None, 9), (3, "Klostabos Realty", [], 9), (4, "Droutemoum Intl", ["Outside Brothers Co"], 9)],

@@ -10,35 +10,56 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.names import HEDGES, NOTHING, Name, acceptable, acronyms, fit, lcs_likeness, parse, plain, spelled, split_words, unglued
 from tidewell.llm.names import _BRACKET as BRACKET
+from tidewell.llm.names import _FORMAL
 from tidewell.llm.names import PLACES
 from tidewell.operators.bounded import join_bounded
 
-_KEYS = "id long, key string, refined string"
+_FORMS = "id long, word string, parts string"
+_WORDS = "word string, key string, size int, letters long"
+_PLACE = {c: 1 << i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
 
 
-def _ends(word: str, lengths: set[int]) -> Iterator[tuple[str, str]]:
-    """(key, refined key) for suffixes of the word and of its mirror image, by length.
-
-    The refinement adds what the suffix leaves out: how the word starts and
-    about how long it is.
-    """
+def _ends(word: str, lengths: set[int]) -> Iterator[str]:
+    """Keys for suffixes of the word and of its mirror image, by length."""
     for mark, text in (("s", word), ("p", word[::-1])):
         for n in lengths:
             if 2 <= n <= len(text):
-                yield f"{mark}:{text[-n:]}", f"{mark}:{text[-n:]}|{text[:2]}"
+                yield f"{mark}:{text[-n:]}"
 
 
 def _least(word: str) -> int:
     return max(2, (len(word) - 2) // 2)
 
 
-def index_keys(words: list[str], tickers: list[str]) -> set[tuple[str, str]]:
-    """Keys of a reference name: all suffixes of its own words from the least useful length up."""
+def index_ends(word: str) -> set[str]:
+    """Keys of a reference word: all suffixes from the least useful length up."""
+    return set(_ends(word, set(range(max(2, _least(word) - 1), len(word) + 1))))
+
+
+def query_ends(word: str) -> set[str]:
+    """Keys of a typed word: one slip leaves a suffix of it or of its mirror image whole."""
+    n = len(word)
+    return set(_ends(word, {_least(word), _least(word) + 1, (n + _least(word)) // 2, n - 3, n - 2, n - 1, n}))
+
+
+def _parts(sectors: set[str], relations: set[str], firsts: set[str]) -> list[str]:
+    return [f"{s}|{r}|{f}" for s in sectors for r in relations for f in firsts]
+
+
+def _formal(firsts: list[str]) -> set[str]:
+    return set().union(*(_FORMAL.get(f, {f}) for f in firsts))
+
+
+def index_forms(words: list[str]) -> set[tuple[str, str]]:
+    """(own word, parts) of a reference name; parts are those that ``fit`` lets a typed name give, or leave out."""
     name = parse(words, exact=True)
-    forms = {*name.stems, "".join(name.stems)}
-    out = {k for w in forms if len(w) > 2 for k in _ends(w, set(range(max(2, _least(w) - 1), len(w) + 1)))}
-    out |= {(f"t:{t}", f"t:{t}") for t in tickers}
-    return out | {(f"a:{a}", f"a:{a}") for a in acronyms(words)}
+    parts = _parts({"", *name.sectors}, {"", *name.relations}, {"", *(_formal(name.firsts) or {"-"})})
+    return {(w, p) for w in {*name.stems, "".join(name.stems)} if len(w) > 2 for p in parts}
+
+
+def index_codes(words: list[str], tickers: list[str]) -> set[str]:
+    """Tickers, acronyms and the whole of a reference name."""
+    return {f"t:{t}" for t in tickers} | {f"a:{a}" for a in acronyms(words)} | {f"w:{' '.join(words)}"}
 
 
 def readings(text: str) -> tuple[list[Name], str, str]:
@@ -59,27 +80,56 @@ def readings(text: str) -> tuple[list[Name], str, str]:
     return made, spelled(every) or spelled(words), beside
 
 
-def query_keys(text: str) -> set[tuple[str, str]]:
-    """Keys of a typed name: one slip leaves a suffix of it or of its mirror image whole."""
-    made, code, beside = readings(text)
+def query_forms(text: str) -> set[tuple[str, str]]:
+    """(own word, parts) of a typed name: a company without its sector, relation or first name does not fit it.
+
+    A first name also fits a company that has none.  A word of one reading can
+    be found by the words of another one, which follow it after ``~``.
+    """
     out = set()
-    for name in made:
-        if acceptable(name):
-            for w in {*name.stems, "".join(name.stems)}:
-                n = len(w)
-                out |= set(_ends(w, {_least(w), _least(w) + 1, (n + _least(w)) // 2, n - 3, n - 2, n - 1, n}))
-    return out | {(f"{kind}:{c}", f"{kind}:{c}") for c in {code, beside} - {""} for kind in "ta"}
+    made = [(name, {*name.stems, "".join(name.stems)}) for name in _readings(text)[0] if acceptable(name)]
+    for name, own in made:
+        firsts = {"-", *_formal(name.firsts)} if name.firsts else {""}
+        parts = _parts(set(name.sectors) or {""}, set(name.relations) or {""}, firsts)
+        others = sorted(set().union(*(words for _, words in made)) - own)
+        out |= {("~".join([w, *others]), p) for w in own for p in parts}
+    return out
+
+
+def query_codes(text: str) -> set[str]:
+    """Codes that a typed name gives, and the whole of it."""
+    _, code, beside = _readings(text)
+    return {f"{kind}:{c}" for c in {code, beside} - {""} for kind in "ta"} | {f"w:{' '.join(split_words(text))}"}
 
 
 def _emit(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    """(id, word, parts) and, with null parts, (id, code, null) of every row."""
     for batch in batches:
-        ids, keys, refined = [], [], []
+        out = []
         for row in zip(*[c.to_pylist() for c in batch.columns]):
-            for key, fine in make(row):
-                ids.append(row[0])
-                keys.append(key)
-                refined.append(fine)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(refined, pa.string())], names=["id", "key", "refined"])
+            out += [(row[0], *made) for made in make(row)]
+        columns = list(zip(*out)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], names=["id", "word", "parts"])
+
+
+def _emit_ends(batches: Iterator[pa.RecordBatch], ends) -> Iterator[pa.RecordBatch]:
+    """(word, key, length, set of letters) of each distinct word; rows come by word, those without parts are codes."""
+    last = None
+    for batch in batches:
+        out = []
+        for word, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if parts is not None and word != last:
+                last = word
+                own, *others = word.split("~")
+                letters = sum(_PLACE[c] for c in set(own))
+                out += [(word, key, len(own), letters) for key in ends(own).union(*map(ends, others))]
+        columns = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["word", "key", "size", "letters"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([lcs_likeness(a.split("~")[0], b) > 0 for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
 
 
 def score(text: str, company: str, tickers: list[str]) -> float | None:
@@ -134,15 +184,23 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["value", "entity", "score"])
 
 
-def linked_names(typed: DataFrame, reference: DataFrame, *, common: int = 40, hopeless: int = 400,
-                 margin: float = 0.02, least: float = 0.2) -> DataFrame:
+def _listed(row: tuple) -> list[tuple[str, str | None]]:
+    words = split_words(row[1])
+    return [*index_forms(words), *((c, None) for c in index_codes(words, [t.lower() for t in row[2] or []]))]
+
+
+def _asked(row: tuple) -> list[tuple[str, str | None]]:
+    return [*query_forms(row[1]), *((c, None) for c in query_codes(row[1]))]
+
+
+def linked_names(typed: DataFrame, reference: DataFrame, *, margin: float = 0.02, least: float = 0.2) -> DataFrame:
     """(value, entity): the entity that each distinct typed ``value`` means.
 
-    ``reference`` has (entity, name, tickers).  Suffixes of the words of both
-    sides, and of their mirror images, are the blocks.  A suffix that more than
-    ``common`` reference names share is refined by the first letters of the
-    word; a refined block of more than ``hopeless`` names is discarded, and
-    longer suffixes of the same word, which are keys too, stand in for it.
+    ``reference`` has (entity, name, tickers).  Suffixes of the distinct own
+    words of both sides, and of their mirror images, are the blocks; no block is
+    cut, and lengths and letters of two words tell most pairs that cannot be
+    alike.  Names meet where a word is alike and no sector, relation or first
+    name speaks against it, or in a ticker, an acronym or the whole name.
     Candidate pairs are compared by longest-common-subsequence ratio and by the
     parts that must agree.  A value that fits two entities within ``margin``
     gives no row, as do nulls, blanks and values that fit none.
@@ -153,19 +211,20 @@ def linked_names(typed: DataFrame, reference: DataFrame, *, common: int = 40, ho
         reference.where("entity is not null and name is not null").groupBy("entity", "name")
         .agg(F.array_distinct(F.flatten(F.collect_set("tickers"))).alias("tickers")).withColumn("id", F.xxhash64("entity", "name"))
     )
-    keys = names.select("id", "name", "tickers").mapInArrow(
-        lambda it: _emit(it, lambda row: index_keys(split_words(row[1]), [t.lower() for t in row[2] or []])), _KEYS)
-    width = Window.partitionBy("key")
-    fine = Window.partitionBy("key", "refined")
-    keys = (
-        keys.withColumn("n", F.count(F.lit(1)).over(width)).withColumn("m", F.count(F.lit(1)).over(fine))
-        .withColumn("block", F.when(F.col("n") <= common, F.col("key")).otherwise(F.col("refined")))
-        .where((F.col("n") <= common) | (F.col("m") <= hopeless))
-        .select(F.col("id").alias("name_id"), "block")
-    )
-    asked = values.select("id", "value").mapInArrow(lambda it: _emit(it, lambda row: query_keys(row[1])), _KEYS)
-    asked = asked.select("id", F.explode(F.array_distinct(F.array("key", "refined"))).alias("block"))
-    pairs = asked.join(keys, "block").select("id", "name_id").distinct()
+    # One exchange of each side serves its distinct words and the join back to its names.
+    listed = names.select("id", "name", "tickers").mapInArrow(lambda it: _emit(it, _listed), _FORMS).repartition("word").sortWithinPartitions("word")
+    asked = values.select("id", "value").mapInArrow(lambda it: _emit(it, _asked), _FORMS).repartition("word").sortWithinPartitions("word")
+    mine = asked.mapInArrow(lambda it: _emit_ends(it, query_ends), _WORDS).alias("q")
+    theirs = listed.mapInArrow(lambda it: _emit_ends(it, index_ends), _WORDS).alias("r")
+    # No common subsequence has a letter that one of the words lacks; ``lcs_likeness`` wants 2/5 of both lengths.
+    bound = F.expr("least(q.size - bit_count(q.letters & ~r.letters), r.size - bit_count(r.letters & ~q.letters)) * 5 >= (q.size + r.size) * 2")
+    near = (F.substring_index("q.word", "~", 1) == F.col("r.word")) | ((F.least("q.size", "r.size") > 3) & bound)
+    alike = mine.join(theirs, (F.col("q.key") == F.col("r.key")) & near).select(F.col("q.word").alias("word"), F.col("r.word").alias("own")).distinct()
+    alike = alike.mapInArrow(_alike, "word string, own string")
+    listed = listed.select(F.col("id").alias("name_id"), F.col("word").alias("own"), "parts")
+    by_word = asked.where("parts is not null").join(alike, "word").join(listed, ["own", "parts"]).select("id", "name_id")
+    by_code = asked.where("parts is null").join(listed.where("parts is null").select("name_id", F.col("own").alias("word")), "word").select("id", "name_id")
+    pairs = by_word.unionByName(by_code).distinct()
     # All candidates of one typed value lie together, so that it is read once.
     together = pairs.repartition("id").join(values, "id")
     ready = join_bounded(
