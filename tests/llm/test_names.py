@@ -53,6 +53,11 @@ def test_a_word_that_many_names_share_links(spark):
     assert linked(spark, names, typed) == {t: n for t, n in typed.items() if n}
 
 
+def test_slips_in_the_outer_letters_of_a_frequent_ending_link(spark):
+    names = ["Bamoor Mining Inc", "Moorab Mining Inc"] + [n for v in "eiou" for c in "cdfghjklnpqrstvw" for n in (f"{c.upper()}{v}moor Foods Inc", f"Moor{v}{c} Foods Inc")]
+    assert linked(spark, names, ["Bemoor Mining", "Moorib Mining"]) == {"Bemoor Mining": names[0], "Moorib Mining": names[1]}
+
+
 def test_answers_link_to_items(spark):
     answers = spark.createDataFrame(
         [(1, "Gebrindal Waithould", ["DRMP", None, "who knows"], 9), (1, "Gebrindal Waithould", ["DRMP", None, "who knows"], 9), (2, None, None, 9), (3, "Klostabos Realty", [], 9), (4, "Droutemoum Intl", ["Outside Brothers Co"], 9)],
