@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidewell.llm.fmindex import FMIndex
-from tidewell.llm.leakage import leaked_items, removal_spans
+from tidewell.llm.leakage import Phrases, held_share, leaked_items, removal_spans
 from tidewell.llm.words import words
 
 LEXICON = [f"{a}{b}{c}" for a in ("ba", "ko", "mi", "tru", "sel") for b in ("n", "rt", "l") for c in ("a", "o", "ex", "um", "ing", "ed", "ar")]
@@ -74,3 +74,16 @@ def test_empty_tables_and_spans(spark):
 def test_words_fold_layout():
     assert words("The Café-\nteria ﬁxed 45% of​ it") == [b"the", b"cafeteria", b"fixed", b"45", b"percent", b"of", b"it"]
     assert words(None) == [] == words("")
+
+
+def test_skipped_phrases_parted_by_altered_words_stay_within_the_bound():
+    phrases = Phrases([("a", " ".join(f"word{i}" for i in range(80)))], 4, 0.4)
+    item, place = phrases.codes[0], phrases.places[0]
+    size = np.ones(len(phrases.grams), np.int64)
+    size[place[[0, 6, 12, 18, 24]]] = 10
+    doc = np.zeros(34, np.int64)
+    for start in range(0, 36, 6):
+        doc[start:start + 4] = item[start:start + 4]
+    _, grams, least = phrases.plan(size)
+    assert held_share(doc, item, phrases)[0] >= 0.4
+    assert np.isin(phrases.grams[grams], phrases.pack(doc)).sum() >= least[0]

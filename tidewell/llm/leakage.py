@@ -62,7 +62,7 @@ class Phrases:
         up less than five eighths of the words that a leak must hold; the rest
         of a leak then shows in the phrases that are located.  Returns (item,
         phrase) pairs to locate and the least number of located phrases for
-        each item: no leak can have fewer.
+        each item: no leak that ``held_share`` sees can have fewer.
         """
         items, grams = [], []
         least = np.ones(len(self.codes), np.int64)
@@ -75,8 +75,8 @@ class Phrases:
             for at in np.argsort(-count, kind="stable"):
                 if count[at] < 4:
                     break
-                part = covered[at:at + self.width]
-                gain = self.width - int(part.sum())
+                part = covered[at:at + self.width + 2]  # with the altered words that may be bridged after it
+                gain = len(part) - int(part.sum())
                 if used + gain > need * 0.625:
                     break
                 part[:] = True
