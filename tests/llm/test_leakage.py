@@ -87,3 +87,13 @@ def test_skipped_phrases_parted_by_altered_words_stay_within_the_bound():
     _, grams, least = phrases.plan(size)
     assert held_share(doc, item, phrases)[0] >= 0.4
     assert np.isin(phrases.grams[grams], phrases.pack(doc)).sum() >= least[0]
+
+
+def test_word_ids_above_the_sign_bit_are_held():
+    phrases = Phrases([("a", " ".join(f"word{i}" for i in range(40_000))), ("b", " ".join(f"word{i}" for i in range(33_000, 33_060)))], 4, 0.4)
+    item = phrases.codes[1]
+    assert item.min() >= 2**15
+    assert held_share(np.concatenate([[0, 0], item, [0]]), item, phrases) == (1.0, 2, 62)
+    index = FMIndex(np.concatenate([item, [0]]), len(phrases.ids))
+    low, high = index.search(phrases.rows[phrases.places[1]])
+    assert (high - low == 1).all()

@@ -101,7 +101,7 @@ def held_share(doc: np.ndarray, item: np.ndarray, phrases: Phrases) -> tuple[flo
     order = np.argsort(wanted, kind="stable")
     low = np.searchsorted(wanted[order], packed, "left")
     high = np.searchsorted(wanted[order], packed, "right")
-    at = np.flatnonzero((high > low) & (packed > 0))
+    at = np.flatnonzero(high > low)  # an unknown word is 0 and no item has it; ids from 2**15 make a phrase negative
     pairs = [(int(p), int(order[k])) for p in at for k in range(low[p], high[p])]
     if not pairs:
         return 0.0, 0, 0
