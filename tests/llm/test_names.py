@@ -1,6 +1,6 @@
 import pytest
 
-from tidewell.llm.canonical import mapped_values
+from tidewell.llm.canonical import Dictionary, mapped_values
 from tidewell.llm.names import damerau, decide, lcs_ratio, split_words
 from tidewell.llm.variants import linked_answers, linked_names
 
@@ -41,6 +41,10 @@ def test_variants_link_to_companies(spark):
     assert got == {t: k for t, k in TYPED.items() if k}
 
 
+def test_two_slips_in_a_long_word_map():
+    assert [k for k, _ in Dictionary([("1", "Gebrindalwaithouldson Software Inc", None)]).candidates("Gebrandalwaithouldsen Software")] == ["1"]
+
+
 def linked(spark, names, typed):
     reference = spark.createDataFrame([(str(i), n, []) for i, n in enumerate(names)], "entity string, name string, tickers array<string>")
     return {r["value"]: names[int(r["entity"])] for r in linked_names(spark.createDataFrame([(t,) for t in typed], "value string"), reference).collect()}

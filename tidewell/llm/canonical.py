@@ -41,7 +41,7 @@ class Dictionary:
                 words.add("".join(company.name.stems))
             for word in words:
                 self.longest = max(self.longest, len(word))
-                for form in deletes(word, _edits(word) if len(word) < 18 else 1):
+                for form in deletes(word, _edits(word)):
                     hashes.append(hash_of(form))
                     owners.append(i)
         order = np.argsort(np.array(hashes, np.int64), kind="stable")
@@ -51,7 +51,7 @@ class Dictionary:
     def lookup(self, word: str) -> set[int]:
         if len(word) > self.longest + 2:  # no reference word is within two edits
             return set()
-        forms = np.array([hash_of(f) for f in deletes(word, _edits(word) if len(word) < 18 else 1)], np.int64)
+        forms = np.array([hash_of(f) for f in deletes(word, _edits(word))], np.int64)
         low, high = np.searchsorted(self.hashes, forms, "left"), np.searchsorted(self.hashes, forms, "right")
         return {int(o) for a, b in zip(low, high) for o in self.owners[a:b]}
 
