@@ -53,6 +53,19 @@ def test_cutoffs_equal_brute_force(spark):
     assert {r["source"] for r in cut.collect()} == {s for s, _ in rows}
 
 
+def test_cutoffs_batch_by_batch_equal_brute_force(spark):
+    rng = random.Random(8)
+    signals = [("ab"[i % 2], i, i // 60, rng.choice([rng.gauss(0, 1), 1 + i % 7 * 1e-9, 2.0])) for i in range(180)]
+    targets = [("a", 10), ("b", 45)]
+    tree, goals = CountTree(spark), spark.createDataFrame([(*t, 0.0) for t in targets], TARGETS)
+    for b in range(3):
+        sent = [s for s in signals if s[2] == b] + signals[:20]  # earlier rows come again
+        kept, _ = kept_signals(spark.createDataFrame([(*s, 1) for s in sent], SIGNALS), goals, tree)
+        rows = [tuple(r) for r in kept.collect()]
+        assert len(rows) == len(set(rows))
+        assert set(rows) == brute([s for s in signals if s[2] <= b], targets)
+
+
 def test_batches_add_up_and_empty(spark):
     rows = spark.createDataFrame([("a", i, i % 4, float(i % 17), 0) for i in range(200)], SIGNALS)
     targets = spark.createDataFrame([("a", 25, 0.0)], TARGETS)

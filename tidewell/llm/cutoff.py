@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from tidewell.session import scratch_path
 #: Bits of the integer code, and of them in the tree; the rest is refined below the chosen leaf.
 CODE_BITS, TREE_BITS = 36, 18
 _SCALE = 2.0**24
+_SIGNAL = ("source", "signal_id", "batch", "score", "code")
 
 
 def score_code(score: Column) -> Column:
@@ -49,6 +51,21 @@ class CountTree:
         """Append the node counts of a batch of (source, code)."""
         node_counts(scored).write.mode("append").parquet(self.path)
 
+    def add_signals(self, scored: DataFrame) -> None:
+        """Add a batch of ``scored_signals`` and keep its rows beside the counts; rows already kept are left out.
+
+        ``signals`` gives them back.  A tree filled by ``add`` alone has counts but no rows.
+        """
+        scored = scored.select(*_SIGNAL)
+        scored.limit(0).write.mode("append").parquet(f"{self.path}-signals/part=none")
+        part = f"{self.path}-signals/part={uuid4().hex}"
+        scored.join(self.signals(), ["source", "signal_id", "batch", "score"], "left_anti").select(*_SIGNAL).write.parquet(part)
+        self.add(self.spark.read.parquet(part))
+
+    def signals(self) -> DataFrame:
+        """All rows that ``add_signals`` kept."""
+        return self.spark.read.parquet(f"{self.path}-signals").select(*_SIGNAL)
+
     def nodes(self) -> DataFrame:
         stored = self.spark.read.schema("source string, level int, node long, n long").parquet(self.path)
         return stored.groupBy("source", "level", "node").agg(F.sum("n").alias("n"))
@@ -112,14 +129,21 @@ def scored_signals(signals: DataFrame) -> DataFrame:
 def kept_signals(signals: DataFrame, targets: DataFrame, tree: CountTree | None = None) -> tuple[DataFrame, DataFrame]:
     """((source, signal_id) of the kept signals, (source, cutoff, kept) of each source).
 
-    All batches of ``signals`` are added to the tree, a new one unless one is
-    given.  A score that is null or NaN is not counted and not kept; ties at
-    the cutoff are kept; a source without target, or with a target above 100,
-    has no cutoff; an empty table has no sources.
+    Without ``tree`` the table is one batch of a new one.  With a tree, the
+    ``signals`` are the next batch: those not yet kept there are added, and
+    cutoffs and kept signals are those of all signals it holds; the tree must
+    be filled by this function or ``CountTree.add_signals``.  A score that is
+    null or NaN is not counted and not kept; ties at the cutoff are kept; a
+    source without target, or with a target above 100, has no cutoff; an empty
+    table has no sources.
     """
-    tree = tree or CountTree(signals.sparkSession)
     scored = scored_signals(signals)
-    tree.add(scored)
+    if tree is None:
+        tree = CountTree(signals.sparkSession)
+        tree.add(scored)
+    else:
+        tree.add_signals(scored)
+        scored = tree.signals()
     found = cutoffs(tree, scored, targets)
     kept = join_bounded(scored, found, "source", "inner").where("score >= cutoff")
     return kept.select("source", "signal_id"), found
