@@ -2,7 +2,7 @@ import pytest
 
 from tidewell.llm.canonical import Dictionary, mapped_values
 from tidewell.llm.names import damerau, decide, lcs_ratio, split_words
-from tidewell.llm.variants import linked_answers, linked_names
+from tidewell.llm.variants import index_codes, index_forms, linked_answers, linked_names, query_codes, query_forms, score
 
 UNIVERSE = [
     ("GDTB", "Gebrindal Waithould Software N.V.", "001"), ("GDTBW", "Gebrindal Waithould Software N.V.", "001"), ("DRMI", "Droutemoum International PLC", "002"),
@@ -45,6 +45,13 @@ def test_two_slips_in_a_long_word_map():
     assert [k for k, _ in Dictionary([("1", "Gebrindalwaithouldson Software Inc", None)]).candidates("Gebrandalwaithouldsen Software")] == ["1"]
 
 
+def test_names_of_listed_or_short_words_are_met_and_fit():
+    for name in ("Charles Industries Inc", "International Associates Co", "BP plc"):
+        assert score(name.upper(), name, []) and query_codes(name.upper()) & index_codes(split_words(name), [])
+    assert score("Charles Industries", "Charles Industries Inc", []) is None and score("unknown", "Unknown", []) is None
+    assert query_forms("BP") & index_forms(["bp", "plc"])
+
+
 def linked(spark, names, typed):
     reference = spark.createDataFrame([(str(i), n, []) for i, n in enumerate(names)], "entity string, name string, tickers array<string>")
     return {r["value"]: names[int(r["entity"])] for r in linked_names(spark.createDataFrame([(t,) for t in typed], "value string"), reference).collect()}

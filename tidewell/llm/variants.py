@@ -54,7 +54,7 @@ def index_forms(words: list[str]) -> set[tuple[str, str]]:
     """(own word, parts) of a reference name; parts are those that ``fit`` lets a typed name give, or leave out."""
     name = parse(words, exact=True)
     parts = _parts({"", *name.sectors}, {"", *name.relations}, {"", *(_formal(name.firsts) or {"-"})})
-    return {(w, p) for w in {*name.stems, "".join(name.stems)} if len(w) > 2 for p in parts}
+    return {(w, p) for w in {*name.stems, "".join(name.stems)} if len(w) > 1 for p in parts}
 
 
 def index_codes(words: list[str], tickers: list[str]) -> set[str]:
@@ -148,6 +148,9 @@ def score(text: str, company: str, tickers: list[str]) -> float | None:
         found = fit(query, name, lcs_likeness)
         if found is not None and (best is None or found > best):
             best = found
+    # A name of listed words alone has no own word to fit; typed whole it is meant.
+    if best is None and made and split_words(text) == words:
+        best = 8.0
     if beside and beside in tickers:
         return 4.0 if best is None else best + 1
     return best
