@@ -36,14 +36,17 @@ def local_session(cpus: int = 8, app: str = "tidewell", **conf: str) -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, a single machine) a temporary
-    folder takes its place.
+    Where the setting is missing a temporary folder takes its place, on a local
+    master only: the folder of one machine would lose data on a cluster.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -56,5 +59,10 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a table that is written and read again."""
-    return f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder for a table that is written and read again; removed when the application ends."""
+    folder = f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/table"
