@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidewell.llm.fmindex import FMIndex
-from tidewell.llm.leakage import Phrases, held_share, leaked_items, removal_spans
+from tidewell.llm.leakage import Phrases, Shard, held_share, leaked_items, phrase_matches, removal_spans
 from tidewell.llm.words import words
 
 LEXICON = [f"{a}{b}{c}" for a in ("ba", "ko", "mi", "tru", "sel") for b in ("n", "rt", "l") for c in ("a", "o", "ex", "um", "ing", "ed", "ar")]
@@ -60,7 +60,7 @@ def test_altered_partial_and_copied_passages(spark):
     add("we saw sesame street twice", "short")
     add(None), add(""), add("   "), add("日本語" * 500)
     add(items[5][1] + " " + passage(rng, 900) + " " + items[6][1], "i5", "i6")
-    for options in ({}, {"shard_words": 500}, {"block_items": 4}):
+    for options in ({}, {"shard_words": 500}, {"block_items": 4}, {"block_items": 1, "shard_words": 3000}):
         assert found(spark, docs, items, **options) == want, options
 
 
@@ -76,24 +76,115 @@ def test_words_fold_layout():
     assert words(None) == [] == words("")
 
 
-def test_skipped_phrases_parted_by_altered_words_stay_within_the_bound():
-    phrases = Phrases([("a", " ".join(f"word{i}" for i in range(80)))], 4, 0.4)
-    item, place = phrases.codes[0], phrases.places[0]
-    size = np.ones(len(phrases.grams), np.int64)
-    size[place[[0, 6, 12, 18, 24]]] = 10
-    doc = np.zeros(34, np.int64)
-    for start in range(0, 36, 6):
-        doc[start:start + 4] = item[start:start + 4]
-    _, grams, least = phrases.plan(size)
-    assert held_share(doc, item, phrases)[0] >= 0.4
-    assert np.isin(phrases.grams[grams], phrases.pack(doc)).sum() >= least[0]
-
-
-def test_word_ids_above_the_sign_bit_are_held():
-    phrases = Phrases([("a", " ".join(f"word{i}" for i in range(40_000))), ("b", " ".join(f"word{i}" for i in range(33_000, 33_060)))], 4, 0.4)
-    item = phrases.codes[1]
-    assert item.min() >= 2**15
-    assert held_share(np.concatenate([[0, 0], item, [0]]), item, phrases) == (1.0, 2, 62)
-    index = FMIndex(np.concatenate([item, [0]]), len(phrases.ids))
-    low, high = index.search(phrases.rows[phrases.places[1]])
-    assert (high - low == 1).all()
+def brute_share(doc, item, width=4):
+    """Longest common sequence over the word pairs that equal phrases and their bridges cover, cell by cell."""
+    pairs = {(p, j) for p in range(len(doc) - width + 1) for j in range(len(item) - width + 1) if item[j] > 0 and (doc[p:p + width] == item[j:j + width]).all()}
+    cells = {(p + t, j + t) for p, j in pairs for t in range(width)}
+    ends = {(p + width, j + width) for p, j in pairs if (p + 1, j + 1) not in pairs}
+    starts = {(p, j) for p, j in pairs if (p - 1, j - 1) not in pairs}
+    for p, j in ends:
+        for over in (1, 2, 3):
+            for under in (1, 2):
+                if (p + over, j + under) in starts:
+                    cells |= {(p + t, j + t) for t in range(min(over, under))}
+    best = np.zeros((len(doc) + 1, len(item) + 1), int)
+    for p in range(len(doc)):
+        for j in range(len(item)):
+            best[p + 1, j + 1] = best[p, j] + 1 if (p, j) in cells else max(best[p, j + 1], best[p + 1, j])
+    return best[-1, -1] / len(item)
+
+
+def altered(rng, text, every):
+    """A copy in which single words are changed, split, doubled or left out."""
+    out = []
+    for i, w in enumerate(text):
+        r = rng.random()
+        if i % every == every - 1 and r < 0.5:
+            out.append("zz")
+        elif r < 0.03:
+            out += ["q", "q"]
+        elif r < 0.05:
+            continue
+        else:
+            out.append(w)
+    return out
+
+
+def coded(words_, known):
+    return np.array([known.setdefault(w, len(known) + 1) for w in words_], np.int64)
+
+
+def test_share_equals_brute_force():
+    rng = random.Random(6)
+    for n in range(120):
+        item = [rng.choice(LEXICON[:rng.choice((4, 12, 60))]) for _ in range(rng.randrange(4, 40))]
+        doc = altered(rng, item[rng.randrange(0, 4):], rng.choice((3, 5, 7)))
+        doc = [rng.choice(LEXICON) for _ in range(rng.randrange(9))] + doc + rng.choice(([], item[:9], doc[::-1]))
+        known: dict = {}
+        i, d = coded(item, known), coded(doc, known)
+        got, start, stop = held_share(d, i, 4)
+        assert got == pytest.approx(brute_share(d, i)), (n, item, doc)
+        assert 0 <= start <= stop <= len(doc)
+
+
+@pytest.mark.parametrize("stock", [0, 3, 50])
+def test_no_bridged_leak_is_lost_among_stock_documents(stock):
+    rng = random.Random(stock)
+    common = [[rng.choice(LEXICON) for _ in range(14)] for _ in range(6)]
+    items = []
+    for k in range(40):
+        body = [f"own{k}x{i}" for i in range(rng.randrange(20, 60))]
+        for part in rng.sample(common, 3):
+            at = rng.randrange(len(body))
+            body[at:at] = part
+        items.append(body)
+    block = Phrases([(f"i{k}", " ".join(t)) for k, t in enumerate(items)], 4, 0.4)
+    shard, docs = Shard(), []
+    for k, item in enumerate(items):
+        for every in (4, 5, 6, 9):
+            at = rng.randrange(len(item) // 2)
+            docs.append(altered(rng, item[at:at + rng.randrange(len(item) * 2 // 5, len(item))], every))
+    docs += [[w for _ in range(3) for w in rng.choice(common) + [rng.choice(LEXICON)]] for _ in range(stock)]
+    for key, d in enumerate(docs):
+        shard.put(key, words(" ".join(d)))
+    shard.seal()
+    got = {(d, name): part for d, name, part, _, _ in shard.leaks(block)}
+    want = {}
+    for d, codes in enumerate(shard.docs):
+        for i, names in enumerate(block.names):
+            item = np.array([shard.ids.get(w.encode(), -1) for w in items[i]], np.int64)
+            part = held_share(codes, item, 4)[0]
+            if part >= 0.4:
+                want[d, names[0]] = part
+    assert len(want) > 60
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [40_000, 100_000])
+def test_vocabulary_has_no_bound(n):
+    rng = random.Random(n)
+    size = n // 120
+    items = [(f"i{k}", " ".join(f"w{k * 120 + i}" for i in range(120))) for k in range(size)]
+    block = Phrases(items, 4, 0.4)
+    assert len(block.vocabulary) > n - 120
+    shard = Shard()
+    for key, (_, text) in enumerate(items):
+        half = text.split()[rng.randrange(60):][:60]
+        shard.put(key, words(" ".join(half) + " some other words"))
+    shard.seal()
+    assert {(d, name) for d, name, *_ in shard.leaks(block)} == {(k, f"i{k}") for k in range(size)}
+
+
+def test_repeated_phrases_do_not_explode():
+    item = coded(["a", "b", "c", "d"] * 30, {})
+    doc = np.tile(item[:4], 5_000)
+    assert len(phrase_matches(doc, item, 4)[0]) > 500_000
+    assert held_share(doc, item, 4)[0] == 1.0
+
+
+def test_large_index_sorts_by_two_ranks():
+    text = np.concatenate([np.arange(1, 2**21 + 5), [7, 8, 9, 0]])
+    index = FMIndex(text, 2**21 + 4)
+    low, high = index.search(np.array([[7, 8, 9], [8, 9, 10], [9, 8, 7]]))
+    assert (high - low).tolist() == [2, 1, 0]
+    assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == [6, 2**21 + 4]

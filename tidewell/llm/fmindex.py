@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols an index can hold: three ranks (terminators and at most 65,535 words) must fit one 63-bit sort key.
-MAX_SYMBOLS = 2**21 - 2**16 - 2
+#: Up to this size three ranks fit one 63-bit sort key; a larger index sorts by two at first.
+MAX_SYMBOLS = 2**21 - 2
 _SAMPLE = 8
 
 
@@ -20,7 +20,8 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     total = int(ends.sum())
     first = np.where(ends, np.cumsum(ends) - 1, symbols.astype(np.int64) + total)
     padded = np.concatenate([first + 1, np.zeros(2, np.int64)])
-    key = (padded[:n] << 42) | (padded[1:n + 1] << 21) | padded[2:n + 2]
+    reach = 3 if int(padded.max(initial=0)) < 2**21 else 2
+    key = (padded[:n] << 42) | (padded[1:n + 1] << 21) | padded[2:n + 2] if reach == 3 else (padded[:n] << 31) | padded[1:n + 1]
     order = np.argsort(key, kind="stable")
     fresh = np.empty(n, bool)
     if n:
@@ -32,7 +33,6 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     rank[n] = -1
     rank[order] = head
     tied = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))
-    reach = 3
     while len(tied):
         at = order[tied]
         nxt = rank[np.minimum(at + reach, n)]

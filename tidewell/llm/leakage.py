@@ -1,20 +1,32 @@
-"""Evaluation items leaking into a corpus: FM-index per shard, then an exact check of each hit."""
+"""Evaluation items leaking into a corpus: one FM-index per shard, then an exact check of each hit."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from functools import lru_cache
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.fmindex import MAX_SYMBOLS, FMIndex
 from tidewell.llm.words import words
+from tidewell.session import scratch_path
 
 _SCHEMA = "doc_id long, item_id string, held double, span_start int, span_end int"
+#: Altered words between two held runs that count as held.
+BRIDGE = 2
+
+
+def _spread(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """low[i], low[i] + 1, ... of ``size[i]`` numbers each, one after another."""
+    return np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
 class Phrases:
@@ -22,7 +34,7 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str]], width: int, share: float) -> None:
         self.width, self.share = width, share
-        self.ids: dict[bytes, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.names: list[list[str]] = []
         self.codes: list[np.ndarray] = []
         same: dict[tuple, int] = {}
@@ -35,47 +47,43 @@ class Phrases:
                 continue
             same[found] = len(self.names)
             self.names.append([name])
-            self.codes.append(np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in found], np.int64))
-        if len(self.ids) >= 2**16:
-            raise ValueError("too many words in one block of items; use smaller blocks")
-        self.packed = [self.pack(c) for c in self.codes]
-        self.grams, where = np.unique(np.concatenate([np.zeros(0, np.int64), *self.packed]), return_inverse=True)
-        self.owner = np.repeat(np.arange(len(self.codes)), [len(p) for p in self.packed])
-        self.places = np.split(where, np.cumsum([len(p) for p in self.packed])[:-1]) if self.packed else []
-        self.rows = np.stack([(self.grams >> (16 * (width - 1 - k))) & 0xFFFF for k in range(width)], axis=1)
+            self.codes.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], np.int64))
         self.short = [i for i, c in enumerate(self.codes) if len(c) < width]
-
-    def pack(self, codes: np.ndarray) -> np.ndarray:
-        """One integer for each phrase; items shorter than a phrase have none."""
-        n = len(codes) - self.width + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        out = np.zeros(n, np.int64)
-        for k in range(self.width):
-            out = (out << 16) | codes[k:k + n]
-        return out
+        sizes = np.array([max(0, len(c) - width + 1) for c in self.codes], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *self.codes])
+        starts = np.cumsum([0, *map(len, self.codes)])[:-1].astype(np.int64)
+        at = _spread(starts, sizes)
+        self.owner = np.repeat(np.arange(len(self.codes)), sizes)
+        # Phrases are numbered word by word, so that neither words nor phrases have a bound.
+        gram = flat[at]
+        for k in range(1, width):
+            gram = np.unique(gram * (len(self.vocabulary) + 1) + flat[at + k], return_inverse=True)[1]
+        _, first, self.gram = np.unique(gram, return_index=True, return_inverse=True)
+        self.rows = np.stack([flat[at[first] + k] for k in range(width)], axis=1)
+        self.places = np.split(self.gram, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
     def plan(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which phrases to locate, given how often each occurs in the shard.
 
-        The most frequent phrases of an item are left out as long as they make
-        up less than five eighths of the words that a leak must hold; the rest
-        of a leak then shows in the phrases that are located.  Returns (item,
-        phrase) pairs to locate and the least number of located phrases for
-        each item: no leak that ``held_share`` sees can have fewer.
+        The most frequent phrases of an item are left out as long as they can
+        hold less than five eighths of the words that a leak must hold.  A
+        phrase holds ``width`` words and at most ``BRIDGE`` altered ones after
+        it, so a leak that ``held_share`` sees shows at least ``least`` of the
+        located places.  Returns (item, phrase) pairs to locate and ``least``.
         """
         items, grams = [], []
+        reach = self.width + BRIDGE
         least = np.ones(len(self.codes), np.int64)
         for i, place in enumerate(self.places):
             if not len(place):
                 continue
-            count, need = size[place], self.share * len(self.codes[i])
+            times, need = size[place], self.share * len(self.codes[i])
             covered, used = np.zeros(len(self.codes[i]), bool), 0
-            locate = count > 0
-            for at in np.argsort(-count, kind="stable"):
-                if count[at] < 4:
+            locate = times > 0
+            for at in np.argsort(-times, kind="stable"):
+                if times[at] < 4:
                     break
-                part = covered[at:at + self.width + 2]  # with the altered words that may be bridged after it
+                part = covered[at:at + reach]
                 gain = len(part) - int(part.sum())
                 if used + gain > need * 0.625:
                     break
@@ -85,113 +93,171 @@ class Phrases:
             chosen = place[locate]
             items.append(np.full(len(chosen), i))
             grams.append(chosen)
-            least[i] = max(1, -int(-(need - used) // (self.width + 2)))
+            least[i] = max(1, -int(-(need - used) // reach))
         return np.concatenate([np.zeros(0, np.int64), *items]), np.concatenate([np.zeros(0, np.int64), *grams]), least
 
 
-def held_share(doc: np.ndarray, item: np.ndarray, phrases: Phrases) -> tuple[float, int, int]:
+def _ranks(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """1 + place in the sorted ``known``, 0 for what is not there."""
+    if not len(known):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at + 1, 0)
+
+
+def phrase_matches(doc: np.ndarray, item: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the document, place in the item) of all equal phrases; codes below 1 equal nothing."""
+    if len(doc) < width or len(item) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    known = np.unique(item[item > 0])
+    a, b = _ranks(doc, known), _ranks(item, known)
+    base, x, y = len(known) + 1, a, b
+    for k in range(1, width):
+        x = np.where((x[:-1] > 0) & (a[k:] > 0), x[:-1] * base + a[k:], 0)
+        y = np.where((y[:-1] > 0) & (b[k:] > 0), y[:-1] * base + b[k:], 0)
+        known = np.unique(y[y > 0])
+        x, y = _ranks(x, known), _ranks(y, known)
+    order = np.argsort(y, kind="stable")
+    at = np.flatnonzero(x)
+    low, high = np.searchsorted(y[order], x[at], "left"), np.searchsorted(y[order], x[at], "right")
+    return np.repeat(at, high - low), order[_spread(low, high - low)]
+
+
+def held_share(doc: np.ndarray, item: np.ndarray, width: int) -> tuple[float, int, int]:
     """(share of the item's words that the document holds in order, first and last word of the span).
 
-    Matching phrases are merged into runs; one or two altered words between
-    runs that go on at the same place count as held.  The best chain of runs
-    that rises in both texts is taken.
+    Matching phrases on one diagonal make runs.  One or two altered words
+    between runs that go on count as held, also where the document has one to
+    three words in their place.  The longest sequence of held words that rises
+    in both texts is taken, in n log n steps.
     """
-    width = phrases.width
-    packed, wanted = phrases.pack(doc), phrases.pack(item)
-    order = np.argsort(wanted, kind="stable")
-    low = np.searchsorted(wanted[order], packed, "left")
-    high = np.searchsorted(wanted[order], packed, "right")
-    at = np.flatnonzero(high > low)  # an unknown word is 0 and no item has it; ids from 2**15 make a phrase negative
-    pairs = [(int(p), int(order[k])) for p in at for k in range(low[p], high[p])]
-    if not pairs:
+    p, j = phrase_matches(doc, item, width)
+    if not len(p):
         return 0.0, 0, 0
-    runs: dict[int, list[list[int]]] = defaultdict(list)
-    for p, j in pairs:
-        mine = runs[p - j]
-        if mine and p <= mine[-1][1] + 2:
-            mine[-1][1] = p + width
+    shift = p - j
+    order = np.lexsort((p, shift))
+    p, shift = p[order], shift[order]
+    fresh = np.ones(len(p), bool)
+    fresh[1:] = (shift[1:] != shift[:-1]) | (p[1:] - p[:-1] > width + BRIDGE)
+    start = p[fresh]
+    stop = p[np.append(np.flatnonzero(fresh)[1:], len(p)) - 1] + width
+    shift = shift[fresh]
+    # Altered words at the seam of two diagonals.
+    size = int(max(len(doc), len(item))) + 8
+    heads, left, right = np.sort(start * size + (start - shift)), [], []
+    for over in range(1, BRIDGE + 2):
+        for under in range(1, BRIDGE + 1):
+            key = (stop + over) * size + (stop - shift + under)
+            seam = heads[np.minimum(np.searchsorted(heads, key), len(heads) - 1)] == key
+            for t in range(min(over, under)):
+                left.append(stop[seam] + t)
+                right.append(stop[seam] - shift[seam] + t)
+    at = _spread(start, stop - start)
+    pairs = np.unique(np.concatenate([at, *left]) * size + (size - 1 - np.concatenate([at - np.repeat(shift, stop - start), *right])))
+    down = pairs // size
+    across = size - 1 - pairs % size
+    # Longest strictly rising sequence; of one document word the later item words come first.
+    ends: list[int] = []
+    last: list[int] = []
+    before = np.full(len(pairs), -1, np.int64)
+    for i, y in enumerate(across.tolist()):
+        k = bisect_left(ends, y)
+        if k:
+            before[i] = last[k - 1]
+        if k == len(ends):
+            ends.append(y)
+            last.append(i)
         else:
-            mine.append([p, p + width])
-    blocks = sorted((start, stop, start - shift, stop - shift) for shift, many in runs.items() for start, stop in many)
-    best: list[tuple[float, int]] = []  # words held by the best chain that ends in the block, its start in the document
-    for b, (start, stop, j, k) in enumerate(blocks):
-        gain, origin = k - j, start
-        for a in range(b):
-            s, e, _, jj = blocks[a]
-            cut = max(0, e - start, jj - j)
-            if s < start and cut < k - j:
-                bridge = min(start - e, j - jj)
-                extra = j - jj if 0 < bridge <= 2 and j - jj <= 2 and start - e <= 3 else 0
-                if best[a][0] + (k - j - cut) + extra > gain:
-                    gain, origin = best[a][0] + (k - j - cut) + extra, best[a][1]
-        best.append((gain, origin))
-    top = max(range(len(blocks)), key=lambda b: best[b][0])
-    return best[top][0] / len(item), best[top][1], blocks[top][1]
-
-
-def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, share: float, shard_words: int) -> Iterator[pa.RecordBatch]:
-    ids = phrases.ids
-    docs: list[np.ndarray] = []
-    keys: list[int] = []
-    held = 0
-
-    def search() -> pa.RecordBatch:
-        found: list[tuple] = []
-        bounds = np.cumsum([0, *[len(d) + 1 for d in docs]])
-        flat = np.zeros(bounds[-1], np.int64)
-        for start, d in zip(bounds, docs):
+            ends[k], last[k] = y, i
+    first = last[-1]
+    while before[first] >= 0:
+        first = before[first]
+    return len(ends) / len(item), int(down[first]), int(down[last[-1]]) + 1
+
+
+class Shard:
+    """Whole documents with one FM-index over all their words, whatever is searched in it."""
+
+    def __init__(self) -> None:
+        self.ids: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+        self.keys: list[int] = []
+        self.docs: list[np.ndarray] = []
+        self.size = 0
+
+    def put(self, key: int, found: list[bytes]) -> None:
+        self.keys.append(key)
+        self.docs.append(np.fromiter(map(self.ids.__getitem__, found), np.int64, len(found)))
+        self.size += len(found) + 1
+
+    def seal(self) -> None:
+        self.bounds = np.cumsum([0, *[len(d) + 1 for d in self.docs]])
+        flat = np.zeros(self.bounds[-1], np.int64)
+        for start, d in zip(self.bounds, self.docs):
             flat[start:start + len(d)] = d
-        keep = np.ones(len(flat), bool)
-        keep[1:] = (flat[1:] != 0) | (flat[:-1] != 0)  # runs of unknown words are one terminator
-        place = np.flatnonzero(keep)
-        index = FMIndex(flat[place], len(ids))
-        low, high = index.search(phrases.rows)
-        owner, gram, least = phrases.plan(high - low)
+        self.index = FMIndex(flat, len(self.ids))
+
+    def places(self, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, word of it) of suffix rows."""
+        at = self.index.locate(_spread(low, size))
+        doc = np.searchsorted(self.bounds, at, "right") - 1
+        return doc, at - self.bounds[doc]
+
+    def leaks(self, block: Phrases) -> Iterator[tuple[int, str, float, int, int]]:
+        """Documents of the shard that hold items of the block."""
+        width, many = block.width, max(1, len(block.codes))
+        here = np.fromiter(map(self.ids.get, block.vocabulary, repeat(0)), np.int64, len(block.vocabulary))
+        coded = here[block.rows]
+        known = np.flatnonzero((coded > 0).all(axis=1))
+        low, size = np.zeros(len(coded), np.int64), np.zeros(len(coded), np.int64)
+        low[known], high = self.index.search(coded[known])
+        size[known] = high - low[known]
+        owner, gram, least = block.plan(size)
         wanted = np.unique(gram)
-        size = (high - low)[wanted]
-        rows = np.repeat(low[wanted], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        doc = np.searchsorted(bounds, place[index.locate(rows)], "right") - 1
-        seen = np.unique(doc * len(phrases.grams) + np.repeat(wanted, size))
-        seen_doc, seen_gram = np.divmod(seen, max(1, len(phrases.grams)))
+        doc, _ = self.places(low[wanted], size[wanted])
+        seen_doc, seen_gram = np.divmod(np.unique(doc * max(1, len(coded)) + np.repeat(wanted, size[wanted])), max(1, len(coded)))
         by = np.argsort(gram, kind="stable")
         left, right = np.searchsorted(gram[by], seen_gram, "left"), np.searchsorted(gram[by], seen_gram, "right")
-        fan = right - left
-        at = np.repeat(left, fan) + np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
-        pair, hits = np.unique(np.repeat(seen_doc, fan) * len(phrases.codes) + owner[by][at], return_counts=True)
-        pair = pair[hits >= least[pair % max(1, len(phrases.codes))]]
-        pairs = {(int(p // len(phrases.codes)), int(p % len(phrases.codes))) for p in pair}
-        for i in phrases.short:  # items shorter than a phrase: whole-word runs
-            pairs |= {(d, i) for d, codes in enumerate(docs) if _holds(codes, phrases.codes[i])}
-        for d, i in sorted(pairs):
-            part, start, stop = (1.0, 0, len(docs[d])) if i in phrases.short else held_share(docs[d], phrases.codes[i], phrases)
-            if part >= share:
-                found += [(keys[d], name, part, start, stop) for name in phrases.names[i]]
-        columns = list(zip(*found)) or [()] * 5
-        types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                          names=["doc_id", "item_id", "held", "span_start", "span_end"])
+        pair, hits = np.unique(np.repeat(seen_doc, right - left) * many + owner[by][_spread(left, right - left)], return_counts=True)
+        for d, i in zip(*np.divmod(pair[hits >= least[pair % many]], many)):
+            item = here[block.codes[i]]
+            part, start, stop = held_share(self.docs[d], np.where(item > 0, item, -1), width)
+            if part >= block.share:
+                yield from ((self.keys[d], name, part, start, stop) for name in block.names[i])
+        for i in block.short:  # shorter than a phrase: each place of the whole item
+            item = here[block.codes[i]]
+            if (item > 0).all():
+                a, b = self.index.search(item[None, :])
+                for d, start in zip(*self.places(a, b - a)):
+                    yield from ((self.keys[d], name, 1.0, int(start), int(start) + len(item)) for name in block.names[i])
+
+
+@lru_cache(2)
+def _block(uri: str, width: int, share: float) -> Phrases:
+    """A block of items from its file in the shared folder."""
+    system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    table = pq.ParquetFile(system.open_input_file(path)).read(columns=["i", "t"])
+    return Phrases(list(zip(table["i"].to_pylist(), table["t"].to_pylist())), width, share)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], blocks: list[str], width: int, share: float, shard_words: int) -> Iterator[pa.RecordBatch]:
+    shard = Shard()
+
+    def search() -> Iterator[pa.RecordBatch]:
+        shard.seal()
+        for uri in blocks:
+            columns = list(zip(*shard.leaks(_block(uri, width, share)))) or [()] * 5
+            types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "held", "span_start", "span_end"])
 
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            codes = np.fromiter(map(ids.get, words(text), repeat(0)), np.int64)
-            if held and held + len(codes) + 1 > shard_words:
-                yield search()
-                docs, keys, held = [], [], 0
-            docs.append(codes)
-            keys.append(key)
-            held += len(codes) + 1
-    if docs:
-        yield search()
-
-
-def _holds(codes: np.ndarray, item: np.ndarray) -> bool:
-    n = len(codes) - len(item) + 1
-    if n <= 0:
-        return False
-    ok = np.ones(n, bool)
-    for k, w in enumerate(item):
-        ok &= codes[k:k + n] == w
-    return bool(ok.any())
+            found = words(text)
+            if shard.keys and shard.size + len(found) + 1 > shard_words:
+                yield from search()
+                shard = Shard()
+            shard.put(key, found)
+    if shard.keys:
+        yield from search()
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
@@ -199,41 +265,32 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_i
                  shard_words: int = 1_200_000, block_items: int = 4_000) -> DataFrame:
     """(doc_id, item_id, held, span_start, span_end): documents that hold ``share`` of an item's words in order.
 
-    Each task turns its part of the corpus into FM-indexes of at most
-    ``shard_words`` words (a longer document has an index of its own), searches
-    all item phrases backwards, locates the hits and checks each (document,
-    item) pair on the whole document.  The span counts words of the folded
-    text; ``removal_spans`` merges overlapping ones.
+    Items are written to the shared folder in files of at most ``block_items``,
+    so that neither the driver nor a broadcast holds them; this write runs when
+    the operator is called.  Each task reads its part of the corpus once, turns
+    it into FM-indexes of at most ``shard_words`` words (a longer document has
+    an index of its own), searches the phrases of every block backwards in
+    each, locates the hits and checks each (document, item) pair on the whole
+    document.  Nothing of the corpus is shuffled.  The span counts words of
+    the folded text; ``removal_spans`` merges overlapping ones.
 
-    Items are sent to the tasks in blocks of ``block_items``, the corpus being
-    read once a block; nothing of the corpus is shuffled.  Null and blank texts
-    hold nothing; items without a word leak nowhere; copies of an item are
-    reported under each name.
+    Null and blank texts hold nothing; items without a word leak nowhere;
+    copies of an item are reported under each name; an item shorter than a
+    phrase is found where all of it stands, with one row for each place.
     """
-    chosen = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
+    spark = documents.sparkSession
+    path = scratch_path(spark, "eval-blocks")
+    chosen = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
+    chosen.write.option("maxRecordsPerFile", block_items).parquet(path)
+    blocks = sorted(spark.read.schema("i string, t string").parquet(path).inputFiles())
     corpus = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     limit = min(shard_words, MAX_SYMBOLS)
-    found = None
-    block: list[tuple[str, str]] = []
-
-    def scanned(part: list[tuple[str, str]]) -> DataFrame:
-        sent = documents.sparkSession.sparkContext.broadcast(Phrases(part, width, share))
-        return corpus.mapInArrow(lambda it: _scan(it, sent.value, share, limit), _SCHEMA)
-
-    for row in chosen.orderBy("i").toLocalIterator():
-        block.append((row["i"], row["t"]))
-        if len(block) == block_items:
-            found = scanned(block) if found is None else found.unionByName(scanned(block))
-            block = []
-    if block or found is None:
-        found = scanned(block) if found is None else found.unionByName(scanned(block))
+    found = corpus.mapInArrow(lambda it: _scan(it, blocks, width, share, limit), _SCHEMA)
     return found.withColumnsRenamed({"doc_id": doc_id, "item_id": item_id})
 
 
 def removal_spans(leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, span_start, span_end, items): overlapping or touching spans of a document merged."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(doc_id).orderBy("span_start", "span_end")
     reach = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("span_start") > reach), 1).otherwise(0)
