@@ -62,18 +62,19 @@ class Phrases:
         self.rows = np.stack([flat[at[first] + k] for k in range(width)], axis=1)
         self.places = np.split(self.gram, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
-    def plan(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def plan(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Which phrases to locate, given how often each occurs in the shard.
 
-        The most frequent phrases of an item are left out as long as they can
-        hold less than five eighths of the words that a leak must hold.  A
-        phrase holds ``width`` words and at most ``BRIDGE`` altered ones after
-        it, so a leak that ``held_share`` sees shows at least ``least`` of the
-        located places.  Returns (item, phrase) pairs to locate and ``least``.
+        A phrase holds ``width`` words of its item and at most ``BRIDGE``
+        altered ones after it.  The most frequent phrases of an item are left
+        out as long as they can hold less than half of the words that a leak
+        must hold.  Returns item, place in it and phrase of all places to
+        locate, and for each item the words that located places must hold in a
+        leak that ``held_share`` sees.
         """
-        items, grams = [], []
+        items, spots, grams = [], [], []
         reach = self.width + BRIDGE
-        least = np.ones(len(self.codes), np.int64)
+        least = np.zeros(len(self.codes))
         for i, place in enumerate(self.places):
             if not len(place):
                 continue
@@ -85,16 +86,30 @@ class Phrases:
                     break
                 part = covered[at:at + reach]
                 gain = len(part) - int(part.sum())
-                if used + gain > need * 0.625:
+                if used + gain > need * 0.5:
                     break
                 part[:] = True
                 used += gain
                 locate[at] = False
-            chosen = place[locate]
+            chosen = np.flatnonzero(locate)
             items.append(np.full(len(chosen), i))
-            grams.append(chosen)
-            least[i] = max(1, -int(-(need - used) // reach))
-        return np.concatenate([np.zeros(0, np.int64), *items]), np.concatenate([np.zeros(0, np.int64), *grams]), least
+            spots.append(chosen)
+            grams.append(place[chosen])
+            least[i] = need - used
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *items]), np.concatenate([none, *spots]), np.concatenate([none, *grams]), least
+
+    def reached(self, pair: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, words of its item) that the given places of each pair can hold, ``BRIDGE`` altered ones included."""
+        longest = 1 + max(map(len, self.codes), default=0)
+        pair, spot = np.divmod(np.unique(pair * longest + spot), longest)
+        if not len(pair):
+            return pair, spot
+        words_ = np.full(len(pair), self.width + BRIDGE)
+        inside = pair[1:] == pair[:-1]
+        words_[:-1][inside] = np.minimum(words_[:-1][inside], (spot[1:] - spot[:-1])[inside])
+        first = np.flatnonzero(np.append(True, ~inside))
+        return pair[first], np.add.reduceat(words_, first)
 
 
 def _ranks(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -211,14 +226,15 @@ class Shard:
         low, size = np.zeros(len(coded), np.int64), np.zeros(len(coded), np.int64)
         low[known], high = self.index.search(coded[known])
         size[known] = high - low[known]
-        owner, gram, least = block.plan(size)
+        owner, spot, gram, least = block.plan(size)
         wanted = np.unique(gram)
         doc, _ = self.places(low[wanted], size[wanted])
         seen_doc, seen_gram = np.divmod(np.unique(doc * max(1, len(coded)) + np.repeat(wanted, size[wanted])), max(1, len(coded)))
         by = np.argsort(gram, kind="stable")
         left, right = np.searchsorted(gram[by], seen_gram, "left"), np.searchsorted(gram[by], seen_gram, "right")
-        pair, hits = np.unique(np.repeat(seen_doc, right - left) * many + owner[by][_spread(left, right - left)], return_counts=True)
-        for d, i in zip(*np.divmod(pair[hits >= least[pair % many]], many)):
+        met = by[_spread(left, right - left)]
+        pair, reached = block.reached(np.repeat(seen_doc, right - left) * many + owner[met], spot[met])
+        for d, i in zip(*np.divmod(pair[reached >= least[pair % many] - 1e-6], many)):
             item = here[block.codes[i]]
             part, start, stop = held_share(self.docs[d], np.where(item > 0, item, -1), width)
             if part >= block.share:
