@@ -124,6 +124,19 @@ def lcs_likeness(a: str, b: str) -> float:
     return ratio if ratio >= 0.8 else 0.0
 
 
+@lru_cache(200_000)
+def letter_set(word: str) -> int:
+    """The distinct letters and digits of a word as bits."""
+    return sum(1 << (ord(c) - (48 if c <= "9" else 87)) for c in set(word))
+
+
+def _may_be_near(a: str, b: str) -> bool:
+    """False where missing letters alone keep the subsequence ratio at 0.7 or less."""
+    x, y = letter_set(a), letter_set(b)
+    most = min(len(a) - (x & ~y).bit_count(), len(b) - (y & ~x).bit_count())
+    return 20 * most > 7 * (len(a) + len(b))
+
+
 def _within(short: str, word: str) -> bool:
     it = iter(word)
     return all(c in it for c in short)
@@ -151,11 +164,20 @@ def _known(word: str, kind: str) -> str | None:
         for option in sorted(options, key=len):
             if 3 <= len(word) <= len(option) - 2 and word[0] == option[0] and _within(word, option) and not set("aeiou") & set(word[2:]):
                 return option
-    near = [o for o in options if len(o) > 4 and abs(len(o) - len(word)) <= 2 and lcs_ratio(word, o) > 0.7]
+    near = [o for o in options if len(o) > 4 and abs(len(o) - len(word)) <= 2 and _may_be_near(word, o) and lcs_ratio(word, o) > 0.7]
     best = min(((damerau(word, option), option) for option in near), default=(9.0, None))
     return best[1] if best[0] <= (1.0 if len(word) < 8 else 2.0) and len(word) > 3 else None
 
 
+@lru_cache(50_000)
+def _first_name(word: str) -> str | None:
+    """The listed first name that a word of six or more letters is mistyped for."""
+    if len(word) < 6:
+        return None
+    # Within a distance of 1 at most two slips of the hand change at most four letters of the sets.
+    return next((n for n in NICKNAMES if abs(len(n) - len(word)) < 2 and (letter_set(n) ^ letter_set(word)).bit_count() < 5 and damerau(n, word) <= 1), None)
+
+
 @dataclass
 class Name:
     """Parts of a name by meaning, in order of appearance."""
@@ -211,19 +233,20 @@ def parse(words: Iterable[str], stems: frozenset[str] | set[str] = frozenset(),
             out.legal.append(_LEGAL_OF[found])
         elif found := _known(word, "sector"):
             out.sectors.append(found)
-        elif len(word) > 5 and (found := next((n for n in NICKNAMES if abs(len(n) - len(word)) < 2 and damerau(n, word) <= 1), None)):
+        elif found := _first_name(word):
             out.firsts.append(found)
         else:
             out.stems.append(word)
     return out
 
 
-_ENDS = sorted({*SECTORS, *RELATIONS, *_LEGAL_OF, *SECTOR_SHORT, *RELATION_SHORT, "and", *_FORMAL}, key=lambda w: (-len(w), w))
-_SHORTS = sorted({s[:k] for s in SECTORS for k in range(3, len(s))}, key=lambda w: (-len(w), w))
+_ENDS = frozenset({*SECTORS, *RELATIONS, *_LEGAL_OF, *SECTOR_SHORT, *RELATION_SHORT, "and", *_FORMAL})
+_SHORTS = frozenset(s[:k] for s in SECTORS for k in range(3, len(s)))
+_SIZES = tuple((parts, sorted({len(p) for p in parts if len(p) > 1}, reverse=True)) for parts in (_ENDS, _SHORTS))
 
 
 def unglued(words: list[str], stems: frozenset[str] | set[str]) -> list[str]:
-    """Words written together taken apart: known words at either end of a long word are split off."""
+    """Words written together taken apart: the longest known word at either end of a long word is split off."""
 
     def cut(word: str, depth: int) -> list[str]:
         if word in stems or len(word) < 7 or depth > 5:
@@ -231,13 +254,16 @@ def unglued(words: list[str], stems: frozenset[str] | set[str]) -> list[str]:
         middle = next((m.start() for m in re.finditer("and", word) if word[:m.start()] in stems and word[m.end():] in stems), None)
         if middle is not None:
             return [word[:middle], "and", word[middle + 3:]]
-        for part in (*_ENDS, *(_SHORTS if depth < 3 else ())):
-            if len(part) < 2 or len(word) - len(part) < 4:
-                continue
-            if word.endswith(part):
-                return [*cut(word[:-len(part)], depth + 1), part]
-            if word.startswith(part) and (len(part) > 4 or word[len(part):] in stems):
-                return [part, *cut(word[len(part):], depth + 1)]
+        for parts, sizes in _SIZES if depth < 3 else _SIZES[:1]:
+            for size in sizes:
+                if len(word) - size < 4:
+                    continue
+                head, tail = word[:size], word[-size:]
+                first = head in parts and (size > 4 or word[size:] in stems)
+                if tail in parts and not (first and head < tail):
+                    return [*cut(word[:-size], depth + 1), tail]
+                if first:
+                    return [head, *cut(word[size:], depth + 1)]
         return [word]
 
     return [piece for word in words for piece in cut(word, 0)]
