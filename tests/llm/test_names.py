@@ -1,8 +1,9 @@
 import pytest
 
-from tidewell.llm.canonical import Dictionary, mapped_values
-from tidewell.llm.names import damerau, decide, lcs_ratio, split_words
-from tidewell.llm.variants import index_codes, index_forms, linked_answers, linked_names, query_codes, query_forms, score
+from tidewell.llm.canonical import mapped_values
+from tidewell.llm.linking import best_fit, index_codes, index_forms, query_codes, query_forms
+from tidewell.llm.names import damerau, lcs_ratio, split_words
+from tidewell.llm.variants import linked_answers, linked_to
 
 UNIVERSE = [
     ("GDTB", "Gebrindal Waithould Software N.V.", "001"), ("GDTBW", "Gebrindal Waithould Software N.V.", "001"), ("DRMI", "Droutemoum International PLC", "002"),
@@ -20,10 +21,10 @@ def universe(spark, rows=UNIVERSE):
     return spark.createDataFrame([(*r, "clash") for r in rows] + [(None, None, None, "clash"), ("NULL", None, "009", "clash")] * bool(rows), "ticker string, name string, cik string, value string")
 
 
-@pytest.mark.parametrize("block_rows", [60_000, 2])
-def test_values_map_to_the_list(spark, block_rows):
+@pytest.mark.parametrize("rows", [1_000_000, 2])
+def test_values_map_to_the_list(spark, rows):
     typed = spark.createDataFrame([(t, "clash") for t in [*TYPED, *TYPED, None]], "name string, cik string")
-    got = {r["name"]: r["cik"] for r in mapped_values(typed, universe(spark), block_rows=block_rows).collect()}
+    got = {r["name"]: r["cik"] for r in mapped_values(typed, universe(spark), dictionary_rows=rows).collect()}
     assert {t: got.pop(t) for t in TYPED} == {t: k or "unmatched" for t, k in TYPED.items()}
     assert not got
 
@@ -37,24 +38,37 @@ def test_empty_lists(spark):
 def test_variants_link_to_companies(spark):
     reference = universe(spark).where("name is not null").selectExpr("cik as entity", "name", "array(ticker) as tickers").groupBy("entity", "name").agg({"tickers": "collect_set"})
     reference = reference.selectExpr("entity", "name", "flatten(`collect_set(tickers)`) as tickers")
-    got = {r["value"]: r["entity"] for r in linked_names(spark.createDataFrame([(t,) for t in [*TYPED, None]], "value string"), reference).collect()}
+    got = {r["value"]: r["entity"] for r in linked_to(spark.createDataFrame([(t,) for t in [*TYPED, None]], "value string"), reference).collect()}
     assert got == {t: k for t, k in TYPED.items() if k}
 
 
-def test_two_slips_in_a_long_word_map():
-    assert [k for k, _ in Dictionary([("1", "Gebrindalwaithouldson Software Inc", None)]).candidates("Gebrandalwaithouldsen Software")] == ["1"]
+def mapped(spark, entries, typed, **options):
+    reference = spark.createDataFrame(entries, "cik string, name string, ticker string")
+    rows = mapped_values(spark.createDataFrame([(t,) for t in typed], "name string"), reference, **options).collect()
+    return {r["name"]: r["cik"] for r in rows}
+
+
+def test_two_slips_in_a_long_word_map(spark):
+    assert mapped(spark, [("1", "Gebrindalwaithouldson Software Inc", None)], ["Gebrandalwaithouldsen Software"]) == {"Gebrandalwaithouldsen Software": "1"}
+
+
+@pytest.mark.parametrize("rows", [1, 100, 1_000_000])
+def test_an_own_word_goes_before_an_acronym_however_the_dictionary_travels(spark, rows):
+    entries = [("1", "Kelso Arden Brook Alder", None), ("2", "Kaba Energy Inc.", "KBE"), ("3", "Mond Ulf Rask Inc", "KBA"), ("4", "Zelt Foods Co", None), ("5", "Zelt Foods Inc", None), ("6", "Oak Zorn Inc", None), ("7", "Ode Zeit Inc", None)]
+    want = {"Kaba": "2", "MUR": "3", "kbe": "2", "Zelt Foods": "unmatched", "Zelt Foods Co": "4", "OZI": "unmatched", "Keba Energy": "2"}
+    assert mapped(spark, entries, want, dictionary_rows=rows) == want
 
 
 def test_names_of_listed_or_short_words_are_met_and_fit():
     for name in ("Charles Industries Inc", "International Associates Co", "BP plc"):
-        assert score(name.upper(), name, []) and query_codes(name.upper()) & index_codes(split_words(name), [])
-    assert score("Charles Industries", "Charles Industries Inc", []) is None and score("unknown", "Unknown", []) is None
-    assert query_forms("BP") & index_forms(["bp", "plc"])
+        assert best_fit(name.upper(), name, [], False) and query_codes(name.upper()) & index_codes(split_words(name), [])
+    assert not best_fit("Charles Industries", "Charles Industries Inc", [], False) and not best_fit("unknown", "Unknown", [], False)
+    assert {f[2:] for f in query_forms("BP")} & {f[:2] for f in index_forms(["bp", "plc"])}
 
 
-def linked(spark, names, typed):
+def linked(spark, names, typed, **options):
     reference = spark.createDataFrame([(str(i), n, []) for i, n in enumerate(names)], "entity string, name string, tickers array<string>")
-    return {r["value"]: names[int(r["entity"])] for r in linked_names(spark.createDataFrame([(t,) for t in typed], "value string"), reference).collect()}
+    return {r["value"]: names[int(r["entity"])] for r in linked_to(spark.createDataFrame([(t,) for t in typed], "value string"), reference, **options).collect()}
 
 
 def test_a_word_that_many_names_share_links(spark):
@@ -82,6 +96,24 @@ def test_answers_link_to_items(spark):
 
 def test_distances():
     assert damerau("pouzer", "pozuer") == 0.7 and damerau("kitten", "sitting") > 2 and damerau("sc3a", "scea") == 0.5
-    assert lcs_ratio("abcdef", "abdcef") == pytest.approx(10 / 12) and lcs_ratio("", "") == 0 or True
+    assert lcs_ratio("abcdef", "abdcef") == pytest.approx(10 / 12) and lcs_ratio("", "x") == 0
     assert split_words("J. & K. Smith's N. V. /DE/") == ["j", "and", "k", "smiths", "nv"]
-    assert decide([("a", 1.0), ("b", 1.0)]) is None and decide([("a", 1.0), ("b", 0.5)]) == "a" and decide([]) is None
+
+
+def harbors(n):
+    """Names that all share the word Harbor; every second one has another own word."""
+    ends = [a + b for a in "bdgklmnprstz" for b in ("alv", "ost", "ern", "ild", "ung", "ask")]
+    return [f"Harbor {a.capitalize()}{b} {s} Inc" for a in ends for b in ends for s in ("Foods", "Mining", "Energy", "Medical")][:n]
+
+
+def test_two_thousand_names_with_one_word_link_and_map(spark):
+    names = harbors(2_000)
+    slipped = {f"Harbor {n.split()[1][:2]}{n.split()[1][3:]} {n.split()[2]}": n for n in names[::10]}
+    typed = [*names, *slipped, *(f"Harbor Foods {i}" for i in range(300)), "Harbor", "Harbor Foods", "Harbor Foods Inc"]
+    for options in ({}, {"common": 20}):
+        got = linked(spark, names, typed, **options)
+        assert all(got.get(n) == n for n in names) and not {"Harbor", "Harbor Foods", "Harbor Foods Inc"} & set(got)
+        assert sum(got.get(t) == n for t, n in slipped.items()) >= 0.9 * len(slipped)
+    got = mapped(spark, [(str(i), n, None) for i, n in enumerate(names)], typed)
+    assert all(got[n] == str(i) for i, n in enumerate(names)) and got["Harbor Foods"] == "unmatched"
+    assert sum(got[t] != "unmatched" and names[int(got[t])] == n for t, n in slipped.items()) >= 0.9 * len(slipped)

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.names import Lexicon, Name, acceptable, damerau_likeness, fit
+from tidewell.llm.linking import (
+    alike_words, asked_forms, candidate_pairs, decided, listed_forms, reference_names, scored_pairs, spread, stored,
+)
+from tidewell.llm.names import split_words
+from tidewell.operators.bounded import join_bounded
 
 UNMATCHED = "unmatched"
 
@@ -25,111 +29,88 @@ def _edits(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 7 else 2
 
 
-class Dictionary:
-    """All deletes of the words of a reference list, as one sorted array of hashes.
+def _delete_rows(words: DataFrame, name: str) -> DataFrame:
+    """(``name``, form): each distinct word with the hashes of its deletes."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for word in batch.column(0).to_pylist():  # a long word has many deletes: one batch each
+                forms = [xxhash.xxh3_64_intdigest(f) >> 1 for f in deletes(word, _edits(word))]
+                yield pa.RecordBatch.from_arrays([pa.array([word] * len(forms)), pa.array(forms, pa.int64())], names=[name, "form"])
 
-    A typed word within the edit bound of a reference word shares a delete with
-    it.  ``lookup`` gives the companies whose words may be meant.
+    return spread(words).mapInArrow(emit, f"{name} string, form long")
+
+
+def delete_blocked(asked: DataFrame, listed: DataFrame, longest: int, dictionary_rows: int) -> DataFrame:
+    """(word, own): typed and registered words that share a form after bounded deletes from both.
+
+    Two words within the edit bound share one.  The dictionary of the
+    registered words is broadcast up to ``dictionary_rows`` rows and joined by
+    shuffle beyond; a typed word that is too long for the bound has no forms.
     """
+    typed = asked.where("parts is not null").select("word").distinct().where(F.length("word") <= longest + 2)
+    own = listed.where("parts is not null").select("own").distinct()
+    return join_bounded(_delete_rows(typed, "word"), _delete_rows(own, "own"), "form", "inner", max_rows=dictionary_rows).select("word", "own").distinct()
+
 
-    def __init__(self, rows: list[tuple[str, str, str | None]]) -> None:
-        self.lexicon = Lexicon(rows)
-        hashes, owners, self.longest = [], [], 0
-        for i, company in enumerate(self.lexicon.companies):
-            words = set(company.name.stems)
-            if len(company.name.stems) > 1:
-                words.add("".join(company.name.stems))
-            for word in words:
-                self.longest = max(self.longest, len(word))
-                for form in deletes(word, _edits(word)):
-                    hashes.append(hash_of(form))
-                    owners.append(i)
-        order = np.argsort(np.array(hashes, np.int64), kind="stable")
-        self.hashes = np.array(hashes, np.int64)[order]
-        self.owners = np.array(owners, np.int32)[order]
-
-    def lookup(self, word: str) -> set[int]:
-        if len(word) > self.longest + 2:  # no reference word is within two edits
-            return set()
-        forms = np.array([hash_of(f) for f in deletes(word, _edits(word))], np.int64)
-        low, high = np.searchsorted(self.hashes, forms, "left"), np.searchsorted(self.hashes, forms, "right")
-        return {int(o) for a, b in zip(low, high) for o in self.owners[a:b]}
-
-    def candidates(self, text: str) -> list[tuple[str, float]]:
-        """(key, score) of the companies that a typed name fits."""
-        readings, beside, whole = self.lexicon.read(text)
-        if whole is not None:
-            return [(whole, 9.0)]
-        best: dict[str, float] = {}
-        for name in readings:
-            if not acceptable(name):
-                continue
-            for i in set().union(*(self.lookup(s) for s in name.stems)):
-                company = self.lexicon.companies[i]
-                score = fit(name, company.name, damerau_likeness)
-                if score is not None:
-                    if beside in company.tickers:
-                        score += 1
-                    best[company.key] = max(score, best.get(company.key, score))
-            if best:
-                break
-        if beside and not best:
-            return [(self.lexicon.by_ticker[beside], 9.0)]
-        return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:2]  # a third one cannot change the decision
-
-
-def hash_of(text: str) -> int:
-    """A stable 63-bit hash, equal in every worker."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text) >> 1
-
-
-def _map(batches: Iterator[pa.RecordBatch], dictionary: Dictionary) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [(text, key, score) for text in batch.column(0).to_pylist() for key, score in dictionary.candidates(text)]
-        columns = list(zip(*out)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())],
-                                         names=["value", "key", "score"])
+def own_words(values: DataFrame, listed: DataFrame, longest: int) -> DataFrame:
+    """(id, value, known): typed values with those of their words, and pieces of words written together, that registered names have as own words.
+
+    A word longer than two registered ones and the known words that may be cut
+    off around them has no such piece.
+    """
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                pieces = set()
+                for word in split_words(text):
+                    n = len(word)
+                    if n <= longest:
+                        pieces.add(word)
+                    if 7 <= n <= 2 * longest + 100:
+                        pieces |= {word[a:b] for a in range(n - 3) for b in range(a + 4, min(n, a + longest) + 1) if n > 12 or a == 0 or b == n}
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(pieces), pa.int64()), pa.array(list(pieces), pa.string())], names=["id", "own"])
+
+    pieces = spread(values.select("id", "value"), "id").mapInArrow(emit, "id long, own string")
+    stems = listed.where("parts is not null").select("own").distinct()
+    known = pieces.join(stems, "own", "left_semi").groupBy("id").agg(F.collect_set("own").alias("known"))
+    return values.join(known, "id", "left").select("id", "value", F.coalesce(F.array_sort("known"), F.array().cast("array<string>")).alias("known"))
+
+
+def ranked_entries(values: DataFrame, reference: DataFrame, *, value: str = "name", key: str = "cik", name: str = "name", ticker: str = "ticker",
+                   dictionary_rows: int = 1_000_000) -> DataFrame:
+    """(value, entity, rank, score): the entries that each distinct typed value may mean.
+
+    Every entry whose own words lie within the edit bound of those of the
+    value, or whose ticker or acronym it gives; scored by the weighted
+    Damerau-Levenshtein likeness of the words and by the parts that agree.
+    """
+    entries = reference.select(F.col(key).cast("string").alias("entity"), F.col(name).cast("string").alias("name"), F.col(ticker).cast("string").alias("ticker"))
+    entries = entries.where("entity is not null and trim(name) <> ''")
+    tickers = entries.groupBy("entity").agg(F.collect_set(F.when(F.trim("ticker") != "", F.trim("ticker"))).alias("tickers"))
+    names = stored(reference_names(entries.select("entity", "name").distinct().join(tickers, "entity")), "names")
+    listed = stored(listed_forms(names), "listed")
+    longest = listed.where("parts is not null").agg(F.coalesce(F.max(F.length("own")), F.lit(0))).first()[0]
+    given = values.select(F.col(value).cast("string").alias("value")).where("value is not null").distinct().withColumn("id", F.xxhash64("value"))
+    typed = stored(own_words(given, listed, longest), "typed")
+    asked = stored(asked_forms(typed), "asked")
+    alike = alike_words(delete_blocked(asked, listed, longest, dictionary_rows), "damerau")
+    pairs = candidate_pairs(asked, listed, alike, plain_acronyms=False)
+    return scored_pairs(pairs, typed, names)
 
 
 def mapped_values(values: DataFrame, reference: DataFrame, *, value: str = "name", key: str = "cik", name: str = "name",
-                  ticker: str = "ticker", block_rows: int = 60_000, margin: float = 0.02, least: float = 0.2) -> DataFrame:
+                  ticker: str = "ticker", dictionary_rows: int = 1_000_000, margin: float = 0.02, least: float = 0.2) -> DataFrame:
     """(value, key): every distinct typed value with the key of the entry it means, or ``unmatched``.
 
-    The deletes of at most ``block_rows`` reference rows are broadcast at once;
-    a longer list goes out in blocks of whole keys, each read against all
-    values, and the best candidates of all blocks are compared.  Candidates are
-    ranked by the weighted Damerau-Levenshtein likeness of their words and by
-    the parts that agree; a value that fits two keys within ``margin`` is
-    unmatched, so a word that several entries share needs further evidence.
+    The best of ``ranked_entries``; a value that fits two keys within
+    ``margin`` is unmatched, so a word that several entries share needs further
+    evidence.  The dictionary and the forms of the values are written to the
+    shared folder when the operator is called; the answer does not depend on
+    ``dictionary_rows``.
 
     Null values give no row; blank ones are unmatched; entries without name or
     key are never found; repeated rows on either side count once.
     """
-    spark = values.sparkSession
+    found = decided(ranked_entries(values, reference, value=value, key=key, name=name, ticker=ticker, dictionary_rows=dictionary_rows), margin, least)
     typed = values.select(F.col(value).cast("string").alias("value")).where("value is not null").distinct()
-    entries = reference.select(
-        F.col(key).cast("string").alias("k"), F.col(name).cast("string").alias("n"), F.col(ticker).cast("string").alias("t"),
-    ).where("k is not null and n is not null").distinct().orderBy("k", "n", "t")
-    found = None
-    block: list[tuple] = []
-
-    def against(rows: list[tuple]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Dictionary(rows))
-        return typed.mapInArrow(lambda it: _map(it, sent.value), "value string, key string, score double")
-
-    for row in entries.toLocalIterator():
-        if len(block) >= block_rows and row["k"] != block[-1][0]:
-            found = against(block) if found is None else found.unionByName(against(block))
-            block = []
-        block.append((row["k"], row["n"], row["t"]))
-    found = against(block) if found is None else found.unionByName(against(block)) if block else found
-    place = Window.partitionBy("value").orderBy(F.desc("score"), "key")
-    ranked = (
-        found.groupBy("value", "key").agg(F.max("score").alias("score"))
-        .withColumn("place", F.row_number().over(place)).withColumn("next", F.lead("score").over(place)).where("place = 1")
-        .where((F.col("score") > least) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin)))
-    )
-    return typed.join(ranked.select("value", "key"), "value", "left").select(
-        F.col("value").alias(value), F.coalesce("key", F.lit(UNMATCHED)).alias(key))
+    return typed.join(found, "value", "left").select(F.col("value").alias(value), F.coalesce("entity", F.lit(UNMATCHED)).alias(key))

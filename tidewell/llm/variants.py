@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.names import HEDGES, NOTHING, Name, acceptable, acronyms, fit, lcs_likeness, parse, plain, spelled, split_words, unglued
-from tidewell.llm.names import _BRACKET as BRACKET
-from tidewell.llm.names import _FORMAL
-from tidewell.llm.names import PLACES
-from tidewell.operators.bounded import join_bounded
+from tidewell.llm.linking import (
+    alike_words, asked_forms, candidate_pairs, decided, listed_forms, reference_names, scored_pairs, spread, stored, typed_values,
+)
 
-_FORMS = "id long, word string, parts string"
-_WORDS = "word string, key string, size int, letters long"
+_ENDS = pa.schema([("word", pa.string()), ("key", pa.string()), ("size", pa.int32()), ("letters", pa.int64())])
 _PLACE = {c: 1 << i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
 
 
@@ -42,203 +40,86 @@ def query_ends(word: str) -> set[str]:
     return set(_ends(word, {_least(word), _least(word) + 1, (n + _least(word)) // 2, n - 3, n - 2, n - 1, n}))
 
 
-def _parts(sectors: set[str], relations: set[str], firsts: set[str]) -> list[str]:
-    return [f"{s}|{r}|{f}" for s in sectors for r in relations for f in firsts]
+def _emit_ends(words: DataFrame, ends: Callable[[str], set[str]]) -> DataFrame:
+    """(word, key, size, letters) of distinct words: each key with the length of the word and the set of its letters."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for word in batch.column(0).to_pylist():
+                letters = sum(_PLACE[c] for c in set(word))
+                out += [(word, key, len(word), letters) for key in ends(word)]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENDS)], schema=_ENDS)
 
+    return spread(words).mapInArrow(emit, "word string, key string, size int, letters long")
 
-def _formal(firsts: list[str]) -> set[str]:
-    return set().union(*(_FORMAL.get(f, {f}) for f in firsts))
 
+@dataclass(frozen=True)
+class Index:
+    """A reference list made ready: its names, their forms, and the suffix keys of their distinct own words."""
 
-def index_forms(words: list[str]) -> set[tuple[str, str]]:
-    """(own word, parts) of a reference name; parts are those that ``fit`` lets a typed name give, or leave out."""
-    name = parse(words, exact=True)
-    parts = _parts({"", *name.sectors}, {"", *name.relations}, {"", *(_formal(name.firsts) or {"-"})})
-    return {(w, p) for w in {*name.stems, "".join(name.stems)} if len(w) > 1 for p in parts}
+    names: DataFrame
+    listed: DataFrame
+    ends: DataFrame
 
+    @classmethod
+    def of(cls, reference: DataFrame) -> Index:
+        """From (entity, name, tickers); each part is written to the shared folder once, whatever is asked of it."""
+        names = stored(reference_names(reference), "names")
+        listed = stored(listed_forms(names), "listed")
+        return cls(names, listed, stored(_emit_ends(listed.where("parts is not null").select(F.col("own").alias("word")).distinct(), index_ends), "ends"))
 
-def index_codes(words: list[str], tickers: list[str]) -> set[str]:
-    """Tickers, acronyms and the whole of a reference name."""
-    return {f"t:{t}" for t in tickers} | {f"a:{a}" for a in acronyms(words)} | {f"w:{' '.join(words)}"}
+    def plus(self, other: Index) -> Index:
+        """Both lists as one; a word of both has its keys twice, which ends where pairs of words are made distinct."""
+        return Index(self.names.unionByName(other.names), self.listed.unionByName(other.listed), self.ends.unionByName(other.ends))
 
 
-def readings(text: str) -> tuple[list[Name], str, str]:
-    """(readings of a typed name, code it consists of, code in brackets beside it)."""
-    beside = next((c for c in (plain(b).strip().lower() for b in BRACKET.findall(text)) if c.isalnum() and 1 < len(c) < 7), "")
-    bare = BRACKET.sub(lambda m: f" {m.group(1)} " if m.group(1).strip().lower() in PLACES else " ", text)
-    every = split_words(bare)
-    words = [w for w in every if w not in HEDGES]
-    if " ".join(words) in NOTHING:
-        return [], "", beside
-    made = [parse(words)]
-    if any(len(s) > 9 for s in made[0].stems) or not made[0].stems:
-        apart = unglued(words, frozenset())
-        if apart != words:
-            made.append(parse(apart))
-    if not made[0].stems and len(words) > 1:
-        made.append(parse(words, frozenset(w for w in words if len(w) > 4)))
-    return made, spelled(every) or spelled(words), beside
+def suffix_blocked(asked: DataFrame, index: Index, common: int) -> DataFrame:
+    """(word, own): typed and registered words that share a suffix, of themselves or of their mirror images.
 
-
-def query_forms(text: str) -> set[tuple[str, str]]:
-    """(own word, parts) of a typed name: a company without its sector, relation or first name does not fit it.
-
-    A first name also fits a company that has none.  A word of one reading can
-    be found by the words of another one, which follow it after ``~``.
-    """
-    out = set()
-    made = [(name, {*name.stems, "".join(name.stems)}) for name in _readings(text)[0] if acceptable(name)]
-    for name, own in made:
-        firsts = {"-", *_formal(name.firsts)} if name.firsts else {""}
-        parts = _parts(set(name.sectors) or {""}, set(name.relations) or {""}, firsts)
-        others = sorted(set().union(*(words for _, words in made)) - own)
-        out |= {("~".join([w, *others]), p) for w in own for p in parts}
-    return out
-
-
-def query_codes(text: str) -> set[str]:
-    """Codes that a typed name gives, and the whole of it."""
-    _, code, beside = _readings(text)
-    return {f"{kind}:{c}" for c in {code, beside} - {""} for kind in "ta"} | {f"w:{' '.join(split_words(text))}"}
-
-
-def _emit(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
-    """(id, word, parts) and, with null parts, (id, code, null) of every row."""
-    for batch in batches:
-        out = []
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            out += [(row[0], *made) for made in make(row)]
-        columns = list(zip(*out)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], names=["id", "word", "parts"])
-
-
-def _emit_ends(batches: Iterator[pa.RecordBatch], ends) -> Iterator[pa.RecordBatch]:
-    """(word, key, length, set of letters) of each distinct word; rows come by word, those without parts are codes."""
-    last = None
-    for batch in batches:
-        out = []
-        for word, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if parts is not None and word != last:
-                last = word
-                own, *others = word.split("~")
-                letters = sum(_PLACE[c] for c in set(own))
-                out += [(word, key, len(own), letters) for key in ends(own).union(*map(ends, others))]
-        columns = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["word", "key", "size", "letters"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.filter(pa.array([lcs_likeness(a.split("~")[0], b) > 0 for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
-
-
-def score(text: str, company: str, tickers: list[str]) -> float | None:
-    """How well a typed text fits a registered name; None if it does not."""
-    made, code, beside = _readings(text)
-    words, name, short = _company(company)
-    if code and code in tickers:
-        return 9.0
-    if code and code in short and not any(code in n.stems and len(code) > 5 for n in made):
-        return 5.0
-    best = None
-    for query in made:
-        if not acceptable(query):
-            continue
-        # A word that looks like a listed one but is this company's own is read as its own.
-        found = fit(query, name, lcs_likeness)
-        if found is not None and (best is None or found > best):
-            best = found
-    # A name of listed words alone has no own word to fit; typed whole it is meant.
-    if best is None and made and split_words(text) == words:
-        best = 8.0
-    if beside and beside in tickers:
-        return 4.0 if best is None else best + 1
-    return best
-
-
-_cache: dict = {}
-
-
-def _readings(text: str):
-    if text not in _cache:
-        if len(_cache) > 50_000:
-            _cache.clear()
-        _cache[text] = readings(text)
-    return _cache[text]
-
-
-def _company(name: str):
-    key = (name,)
-    if key not in _cache:
-        words = split_words(name)
-        _cache[key] = (words, parse(words, exact=True), acronyms(words))
-    return _cache[key]
-
-
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, entity, name, tickers in zip(*[c.to_pylist() for c in batch.columns]):
-            found = score(text, name, tickers or [])
-            if found is not None:
-                out.append((text, entity, found))
-        columns = list(zip(*out)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())],
-                                         names=["value", "entity", "score"])
-
-
-def _listed(row: tuple) -> list[tuple[str, str | None]]:
-    words = split_words(row[1])
-    return [*index_forms(words), *((c, None) for c in index_codes(words, [t.lower() for t in row[2] or []]))]
-
-
-def _asked(row: tuple) -> list[tuple[str, str | None]]:
-    return [*query_forms(row[1]), *((c, None) for c in query_codes(row[1]))]
-
-
-def linked_names(typed: DataFrame, reference: DataFrame, *, margin: float = 0.02, least: float = 0.2) -> DataFrame:
-    """(value, entity): the entity that each distinct typed ``value`` means.
-
-    ``reference`` has (entity, name, tickers).  Suffixes of the distinct own
-    words of both sides, and of their mirror images, are the blocks; no block is
-    cut, and lengths and letters of two words tell most pairs that cannot be
-    alike.  Names meet where a word is alike and no sector, relation or first
-    name speaks against it, or in a ticker, an acronym or the whole name.
-    Candidate pairs are compared by longest-common-subsequence ratio and by the
-    parts that must agree.  A value that fits two entities within ``margin``
-    gives no row, as do nulls, blanks and values that fit none.
+    A suffix that more than ``common`` registered words share is refined by the
+    other fields of the names (sector, relation, first name): words meet there
+    only in names whose fields agree, as ``fit`` asks of them anyway.  Nothing
+    is discarded.  Lengths and letters tell most pairs that cannot be alike.
     """
-    values = typed.select(F.col("value").cast("string").alias("value")).where("value is not null and trim(value) <> ''").distinct()
-    values = values.withColumn("id", F.xxhash64("value"))
-    names = (
-        reference.where("entity is not null and name is not null").groupBy("entity", "name")
-        .agg(F.array_distinct(F.flatten(F.collect_set("tickers"))).alias("tickers")).withColumn("id", F.xxhash64("entity", "name"))
-    )
-    # One exchange of each side serves its distinct words and the join back to its names.
-    listed = names.select("id", "name", "tickers").mapInArrow(lambda it: _emit(it, _listed), _FORMS).repartition("word").sortWithinPartitions("word")
-    asked = values.select("id", "value").mapInArrow(lambda it: _emit(it, _asked), _FORMS).repartition("word").sortWithinPartitions("word")
-    mine = asked.mapInArrow(lambda it: _emit_ends(it, query_ends), _WORDS).alias("q")
-    theirs = listed.mapInArrow(lambda it: _emit_ends(it, index_ends), _WORDS).alias("r")
+    typed = asked.where("parts is not null").select("word", "parts").distinct()
+    known = index.listed.where("parts is not null").select(F.col("own").alias("word"), "parts").distinct()
+    mine, theirs = _emit_ends(typed.select("word").distinct(), query_ends), index.ends
+    full = theirs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > common).select("key")
+    q, r = "q.size - bit_count(q.letters & ~r.letters)", "r.size - bit_count(r.letters & ~q.letters)"
     # No common subsequence has a letter that one of the words lacks; ``lcs_likeness`` wants 2/5 of both lengths.
-    bound = F.expr("least(q.size - bit_count(q.letters & ~r.letters), r.size - bit_count(r.letters & ~q.letters)) * 5 >= (q.size + r.size) * 2")
-    near = (F.substring_index("q.word", "~", 1) == F.col("r.word")) | ((F.least("q.size", "r.size") > 3) & bound)
-    alike = mine.join(theirs, (F.col("q.key") == F.col("r.key")) & near).select(F.col("q.word").alias("word"), F.col("r.word").alias("own")).distinct()
-    alike = alike.mapInArrow(_alike, "word string, own string")
-    listed = listed.select(F.col("id").alias("name_id"), F.col("word").alias("own"), "parts")
-    by_word = asked.where("parts is not null").join(alike, "word").join(listed, ["own", "parts"]).select("id", "name_id")
-    by_code = asked.where("parts is null").join(listed.where("parts is null").select("name_id", F.col("own").alias("word")), "word").select("id", "name_id")
-    pairs = by_word.unionByName(by_code).distinct()
-    # All candidates of one typed value lie together, so that it is read once.
-    together = pairs.repartition("id").join(values, "id")
-    ready = join_bounded(
-        together, names.select(F.col("id").alias("name_id"), "entity", "name", F.transform("tickers", F.lower).alias("tickers")),
-        "name_id", "inner", max_rows=100_000,
-    ).select("value", "entity", "name", "tickers").sortWithinPartitions("value")
-    scored = ready.mapInArrow(_score, "value string, entity string, score double").groupBy("value", "entity").agg(F.max("score").alias("score"))
-    place = Window.partitionBy("value").orderBy(F.desc("score"), "entity")
-    ranked = scored.withColumn("place", F.row_number().over(place)).withColumn("next", F.lead("score").over(place))
-    sure = (F.col("score") > least) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin))
-    return ranked.where((F.col("place") == 1) & sure).select("value", "entity")
+    near = F.expr(f"q.word = r.word or (least(q.size, r.size) > 3 and least({q}, {r}) * 5 >= (q.size + r.size) * 2)")
+    both = [F.col("q.word").alias("word"), F.col("r.word").alias("own")]
+    met = lambda left, right, on: left.alias("q").join(right.alias("r"), on & near).select(*both)
+    same = F.col("q.key") == F.col("r.key")
+    if full.isEmpty():
+        return met(mine, theirs, same).distinct()
+    refined = met(mine.join(full, "key", "left_semi").join(typed, "word"), theirs.join(full, "key", "left_semi").join(known, "word"), same & (F.col("q.parts") == F.col("r.parts")))
+    return met(mine, theirs.join(full, "key", "left_anti"), same).unionByName(refined).distinct()
+
+
+def linked_names(values: DataFrame, index: Index, *, margin: float = 0.02, least: float = 0.2, common: int = 1_000) -> DataFrame:
+    """(value, entity): the entity of the index that each distinct typed ``value`` means.
+
+    Suffixes of the distinct own words of both sides, and of their mirror
+    images, are the blocks.  Names meet where words are alike and no sector,
+    relation or first name speaks against it, or in a ticker, an acronym or the
+    whole name.  Candidate pairs are compared by longest-common-subsequence
+    ratio and by the parts that must agree.  A value that fits two entities
+    within ``margin`` gives no row, as do nulls, blanks and values that fit
+    none.  The words of the values are written to the shared folder when the
+    operator is called.
+    """
+    typed = typed_values(values).withColumn("known", F.lit(None).cast("array<string>"))
+    asked = stored(asked_forms(typed), "asked")
+    alike = alike_words(suffix_blocked(asked, index, common), "lcs")
+    pairs = candidate_pairs(asked, index.listed, alike, plain_acronyms=True)
+    return decided(scored_pairs(pairs, typed, index.names), margin, least).select("value", "entity")
+
+
+def linked_to(values: DataFrame, reference: DataFrame, **options) -> DataFrame:
+    """``linked_names`` for a reference list of (entity, name, tickers)."""
+    return linked_names(values, Index.of(reference), **options)
 
 
 def linked_answers(answers: DataFrame, answer_key: DataFrame, universe: DataFrame) -> DataFrame:
@@ -253,14 +134,15 @@ def linked_answers(answers: DataFrame, answer_key: DataFrame, universe: DataFram
     slots = answers.select("answer_id", F.posexplode(F.concat(
         F.array(F.col("company_guess")), F.coalesce(F.col("alternates"), F.array().cast("array<string>")))).alias("slot", "value"))
     slots = slots.where("value is not null and answer_id is not null").distinct()
-    listed = universe.where("cik is not null").groupBy(F.col("cik").alias("entity"), "name").agg(F.collect_set("ticker").alias("tickers"))
-    listed = listed.join(universe.groupBy(F.col("cik").alias("entity")).agg(F.collect_set("ticker").alias("all")), "entity").select("entity", "name", F.col("all").alias("tickers"))
+    companies = universe.where("cik is not null").select(F.col("cik").alias("entity"), "name", "ticker")
+    tickers = companies.groupBy("entity").agg(F.collect_set("ticker").alias("tickers"))
+    index = Index.of(companies.select("entity", "name").distinct().join(tickers, "entity"))
     key = answer_key.where("item is not null and company is not null").select("item", "company", "ticker").distinct()
     by_ticker = universe.where("ticker is not null").groupBy("ticker").agg(F.min("cik").alias("cik"))
     key = key.join(by_ticker, "ticker", "left")
-    named = linked_names(key.where("cik is null").select(F.col("company").alias("value")), listed)
+    named = linked_names(key.where("cik is null").select(F.col("company").alias("value")), index)
     key = key.join(named.withColumnsRenamed({"value": "company", "entity": "named"}), "company", "left")
-    key = key.select("item", "company", "ticker", F.coalesce("cik", "named", F.concat(F.lit("item "), "item")).alias("entity"))
+    key = stored(key.select("item", "company", "ticker", F.coalesce("cik", "named", F.concat(F.lit("item "), "item")).alias("entity")), "key")
     own = key.where(F.col("entity").startswith("item ")).select("entity", F.col("company").alias("name"), F.array_compact(F.array("ticker")).alias("tickers"))
-    links = linked_names(slots.select("value"), listed.unionByName(own))
+    links = linked_names(slots.select("value"), index.plus(Index.of(own)))
     return slots.join(links, "value").join(key.select("entity", "item"), "entity").select("answer_id", "slot", "item").distinct()
