@@ -1,10 +1,12 @@
 import random
+import struct
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connection, differences
+from tidewell.llm import cutoff
 from tidewell.llm import queries as Q
 from tidewell.llm.cutoff import CountTree, kept_signals, score_code, scored_signals
 from tidewell.llm.packing import BestFit, packed_documents, token_count
@@ -66,6 +68,19 @@ def test_cutoffs_batch_by_batch_equal_brute_force(spark):
         assert set(rows) == brute([s for s in signals if s[2] <= b], targets)
 
 
+def test_full_leaves_are_counted_deeper(spark, monkeypatch):
+    rng = random.Random(12)
+    signals = [("near", i, 0, 1000.0 + rng.randrange(700) * 1e-12) for i in range(900)] + [("mixed", i, 0, rng.choice([0.5, 0.5 + 2**-40 * rng.randrange(99), -3.0])) for i in range(900)]
+    targets = [("near", 37), ("mixed", 61)]
+    df, goals = spark.createDataFrame([(*s, 1) for s in signals], SIGNALS), spark.createDataFrame([(*t, 0.0) for t in targets], TARGETS)
+    want = brute(signals, targets)
+    for rows in (50_000, 100, 1):
+        monkeypatch.setattr(cutoff, "REFINE_ROWS", rows)
+        kept, cut = kept_signals(df, goals)
+        assert {tuple(r) for r in kept.collect()} == want
+        assert {r["source"]: r["kept"] for r in cut.collect()} == {k: sum(s == k for s, _ in want) for k in ("near", "mixed")}
+
+
 def test_batches_add_up_and_empty(spark):
     rows = spark.createDataFrame([("a", i, i % 4, float(i % 17), 0) for i in range(200)], SIGNALS)
     targets = spark.createDataFrame([("a", 25, 0.0)], TARGETS)
@@ -84,7 +99,11 @@ def test_code_never_falls(spark):
     rng = random.Random(2)
     xs = sorted([rng.gauss(0, 10.0**rng.randrange(-9, 12)) for _ in range(3000)] + [0.0, float("inf"), -float("inf"), 1.7e308, -1.7e308])
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "score double").coalesce(1).select(score_code(F.col("score"))).collect()]
-    assert got == sorted(got) and min(got) >= 0 and max(got) < 2**36
+    assert got == sorted(got)
+    xs += [5e-324, -5e-324, 2.2250738585072014e-308, 2.225e-308, 1.0, 0.9999999999999999, 2.0, 1.9999999999999998, -0.0] + [2.0**k for k in range(-1074, 1024, 7)]
+    rows = spark.createDataFrame([(x,) for x in xs], "score double").coalesce(1).select("score", score_code(F.col("score"))).collect()
+    bits = [struct.unpack("<q", struct.pack("<d", abs(x) + 0.0))[0] for x in xs]
+    assert [r[1] for r in rows] == [-b if x < 0 else b for x, b in zip(xs, bits)]
 
 
 def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():

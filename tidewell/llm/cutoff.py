@@ -10,34 +10,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.bounded import join_bounded
-from tidewell.session import scratch_path
+from tidewell.session import cut_lineage, scratch_path
 
-#: Bits of the integer code, and of them in the tree; the rest is refined below the chosen leaf.
-CODE_BITS, TREE_BITS = 36, 18
-_SCALE = 2.0**24
+#: Levels of the stored tree, and levels added at once below a leaf that holds more than ``REFINE_ROWS`` rows.
+TREE_BITS, STEP_BITS, REFINE_ROWS = 24, 20, 50_000
 _SIGNAL = ("source", "signal_id", "batch", "score", "code")
 
 
 def score_code(score: Column) -> Column:
-    """A non-negative integer of ``CODE_BITS`` bits that never falls as the score rises.
+    """A signed 64-bit integer that rises exactly as the score does.
 
-    The logarithm of the magnitude is kept to 24 binary places with the sign
-    put back; the code depends on the score alone, so trees of different
-    batches add up.  Infinite scores have the outermost codes; null and NaN have none.
+    It is the bit pattern of the double, its magnitude negated below zero, so
+    that the tree divides each source where its scores lie, whatever their
+    scale.  The code depends on the score alone: trees of different batches add
+    up.  Null and NaN have none.
     """
-    half = 1 << (CODE_BITS - 1)
-    size = F.least(F.floor(F.log2(F.abs(score) + 1.0) * _SCALE), F.lit(half - 1))
-    size = F.when(F.abs(score) == float("inf"), F.lit(half - 1)).otherwise(size).cast("long")
-    return F.when(score.isNotNull() & ~F.isnan(score), F.when(score < 0, half - 1 - size).otherwise(half + size))
+    size = F.abs(score)
+    guess = F.greatest(F.floor(F.log2(size)).cast("double"), F.lit(-1022.0))
+    # The logarithm may err by one next to a power of two; powers of two and their quotients are exact.
+    low = F.when(size < F.pow(F.lit(2.0), guess), guess - 1).when(size >= 2.0 * F.pow(F.lit(2.0), guess), guess + 1).otherwise(guess)
+    exponent = F.least(F.greatest(low, F.lit(-1022.0)), F.lit(1023.0))
+    part = (size / F.pow(F.lit(2.0), exponent) * 2.0**52).cast("long")  # from 2**52 on, below it for subnormal scores
+    bits = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(2047 << 52)).otherwise((exponent + 1022).cast("long") * F.lit(1 << 52) + part)
+    return F.when(score.isNotNull() & ~F.isnan(score), F.when(score < 0, -bits).otherwise(bits))
 
 
-def node_counts(scored: DataFrame) -> DataFrame:
-    """(source, level, node, n): counts of one batch at every level of the tree; ``scored`` has (source, code)."""
-    leaf = scored.groupBy("source", F.shiftright("code", CODE_BITS - TREE_BITS).alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(TREE_BITS)))
-    spread = leaf.select("source", levels.alias("level"), "node", "n").select(
-        "source", "level", F.expr(f"shiftright(node, {TREE_BITS} - level)").alias("node"), "n")
-    return spread.groupBy("source", "level", "node").agg(F.sum("n").alias("n"))
+def _node(code: Column | str, bits: int) -> Column:
+    """The node that holds a code ``bits`` levels below the root; siblings are 2n and 2n + 1."""
+    return F.shiftright(code, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def node_counts(scored: DataFrame, above: int = 0, bits: int = TREE_BITS) -> DataFrame:
+    """(source, level, node, n): counts of (source, code) at the levels from ``above`` to ``above + bits``."""
+    leaf = scored.groupBy("source", _node("code", above + bits).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    levels = F.explode(F.sequence(F.lit(above), F.lit(above + bits)))
+    spread = leaf.select("source", levels.alias("level"), "node", "n")
+    up = F.when(F.col("level") == 0, F.lit(0)).otherwise(F.expr(f"shiftright(node, {above + bits} - level)"))
+    return spread.select("source", "level", up.cast("long").alias("node"), "n").groupBy("source", "level", "node").agg(F.sum("n").alias("n"))
 
 
 class CountTree:
@@ -71,47 +80,61 @@ class CountTree:
         return stored.groupBy("source", "level", "node").agg(F.sum("n").alias("n"))
 
 
+_LEAF = "source string, leaf long, level int, above long, need long, held long"
+
+
 def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per source, from the root to the leaf that holds the wanted rank; rows come by (source, level, node down)."""
-    source, at, above, need, want = None, 0, 0, 0, None
-    out: list[tuple] = []
+    """Per source, from the node it stands at to the lowest one that holds the wanted rank; rows come by (source, level, node down)."""
+    source, out = None, []
+    at = level = above = need = held = 0
     for batch in batches:
-        for name, level, node, n, percent in zip(*[c.to_pylist() for c in batch.columns]):
+        for name, depth, node, n, start, top, before, want in zip(*[c.to_pylist() for c in batch.columns]):
             if name != source:
-                if source is not None and want is not None:
-                    out.append((source, at, above, need))
-                source, at, above, want = name, 0, 0, None
-                if percent is not None and percent <= 100:
-                    need = max(1, -(-percent * n // 100))
-                    want = 0
-                continue
-            if want is None or level != want + 1 or node >> 1 != at:
-                continue
-            # Children of one node come right first; the right one is passed over if the rank lies left of it.
-            if above + n >= need:
-                at, want = node, level
-            else:
-                above += n
-    if source is not None and want is not None:
-        out.append((source, at, above, need))
-    columns = list(zip(*out)) or [()] * 4
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]],
-        names=["source", "leaf", "above", "need"])
+                if source is not None:
+                    out.append((source, at, level, above, need, held))
+                source, at, level, above, need, held = name, start, top, before, want, 0
+            # Children come right first; the root has a negative and a positive half.
+            if depth == level + 1 and (node >> 1 == at or level == 0) and not (held and depth == found):
+                if above + n >= need:
+                    at, level, held, found = node, depth, n, depth
+                else:
+                    above += n
+            elif depth == top and node == start:
+                held, found = n, depth
+    if source is not None:
+        out.append((source, at, level, above, need, held))
+    columns = list(zip(*out)) or [()] * 6
+    types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["source", "leaf", "level", "above", "need", "held"])
+
+
+def _walked(nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """Where each source of ``start`` (source, leaf, level, above, need) comes to stand after the levels of ``nodes``."""
+    from_here = start.select("source", "leaf", F.col("level").alias("top"), "above", "need")
+    rows = join_bounded(nodes, from_here, "source", "inner").select("source", "level", "node", "n", "leaf", "top", "above", "need")
+    return rows.repartition("source").sortWithinPartitions("source", "level", F.desc("node")).mapInArrow(_descend, _LEAF)
 
 
 def cutoffs(tree: CountTree, scored: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, cutoff, kept, n): the highest score that keeps at least the target share of each source.
+    """(source, cutoff, kept): the highest score that keeps at least the target share of each source.
 
-    The tree gives the leaf with the wanted rank and the count above it; the
-    scores of that leaf alone are counted one by one.
+    The stored tree leads to the node with the wanted rank and the count above
+    it.  Where that node still holds many rows, the next levels are counted on
+    its rows alone, and so on to the full code; then its distinct scores are
+    refined.  Runs one small job for each descent.
     """
-    goals = targets.groupBy(F.col("source").cast("string").alias("source")).agg(F.max("target_percent").cast("long").alias("percent"))
-    nodes = join_bounded(tree.nodes(), goals, "source", "inner")
-    ranked = nodes.select("source", "level", "node", "n", "percent").repartition("source").sortWithinPartitions("source", "level", F.desc("node"))
-    found = ranked.mapInArrow(_descend, "source string, leaf long, above long, need long")
-    inside = join_bounded(
-        scored.select("source", F.shiftright("code", CODE_BITS - TREE_BITS).alias("leaf"), "score"), found, ["source", "leaf"], "inner")
+    goals = targets.groupBy(F.col("source").cast("string").alias("source")).agg(F.max("target_percent").cast("long").alias("percent")).where("percent <= 100")
+    nodes = tree.nodes()
+    whole = nodes.where("level = 0").select("source", "n")
+    start = join_bounded(whole, goals, "source", "inner").select(
+        "source", F.lit(0).cast("long").alias("leaf"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("above"),
+        F.greatest(F.lit(1), F.ceil(F.col("percent") * F.col("n") / 100)).cast("long").alias("need"))
+    found, bits = cut_lineage(_walked(nodes, start)), TREE_BITS
+    while bits < 64 and not found.where(F.col("held") > REFINE_ROWS).isEmpty():
+        step = min(STEP_BITS, 64 - bits)
+        inside = join_bounded(scored.select("source", "code", _node("code", bits).alias("leaf")), found.select("source", "leaf"), ["source", "leaf"], "inner")
+        found, bits = cut_lineage(_walked(node_counts(inside.select("source", "code"), bits, step), found)), bits + step
+    inside = join_bounded(scored.select("source", _node("code", bits).alias("leaf"), "score"), found, ["source", "leaf"], "inner")
     distinct = inside.groupBy("source", "score").agg(F.count(F.lit(1)).alias("n"), F.max("above").alias("above"), F.max("need").alias("need"))
     down = Window.partitionBy("source").orderBy(F.desc("score"))
     upto = distinct.withColumn("kept", F.col("above") + F.sum("n").over(down)).where("kept >= need")
