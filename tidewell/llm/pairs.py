@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ ENGLISH = frozenset(
     "the of and to in a is that it for was on are with as by at be this from or an which not have has had but its their were would will "
     "after before when who what if because near only than twice should could into about there where".split())
 _HANGING = frozenset("the a an of to in on for with as by at from and or but its their his her is are was were be been because although while since if that than which who whose into beside near due".split())
+_HANGING_WORDS = tuple(sorted(_HANGING))
 FOREIGN = {
     "de": "der die das und den dem ein eine einer nicht mit sich auf für von ist wird werden bei nach wegen durch keine oder zum zur im",
     "fr": "le la les des du un une dans est et pour sur avec par aux cette ce qui que pas ses sont après sans leur au",
@@ -63,119 +65,245 @@ def tidy(text: str | None) -> str:
     return " ".join(_INVISIBLE.sub("", text).split()) if text else ""
 
 
-def bucket(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word) & ((1 << COUNT_BITS) - 1)
+def word_buckets(text: str) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(w) & ((1 << COUNT_BITS) - 1) for w in set(_TOKEN.findall(tidy(text).lower()))]
 
 
-def word_buckets(text: str) -> list[int]:
-    return [bucket(w) for w in set(_TOKEN.findall(tidy(text).lower()))]
+def _level(x: np.ndarray, steps: tuple[float, ...]) -> np.ndarray:
+    return np.searchsorted(np.array(steps, float), x, "left")
+
+
+_STRIPPED, _CLOSING = frozenset(".!?”\"'"), frozenset(".!?”\"')")
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mixed(*parts: np.ndarray | int) -> np.ndarray:
+    """One 64-bit hash of several columns of numbers."""
+    out = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for part in parts:
+            out = (out ^ np.asarray(part).astype(np.uint64)) * _ODD
+            out = (out ^ (out >> np.uint64(29))) * _MIX
+    return out
+
 
+class _Words:
+    """Numbers for the words of a batch, and what is known of each word, found once a word."""
 
-def _level(x: float, steps: tuple[float, ...]) -> int:
-    return sum(x > s for s in steps)
+    def __init__(self) -> None:
+        self.ids: defaultdict[str, int] = defaultdict(count().__next__)
 
+    def put(self, words: list[str], into: list[int]) -> int:
+        into.extend(map(self.ids.__getitem__, words))
+        return len(words)
 
-def features(question: str | None, answer: str | None, kind: str, counts: np.ndarray, total: int) -> list[int]:
-    """Hashed features of a pair.
+    def known(self, counts: np.ndarray, total: int) -> dict[str, np.ndarray]:
+        words = list(self.ids) + [""]  # the last row stands for no word
+        test = lambda f: np.array([bool(f(w)) for w in words])
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        often = counts[(hashes & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)]
+        shown = np.where(test(lambda w: w[:1].isdigit()), np.uint64(1), np.where((often * 100 >= total) | test(ENGLISH.__contains__), hashes | np.uint64(4), np.uint64(2)))
+        shown[-1] = 0
+        usual = shown != 2  # a rare mark closes nothing
+        return {"shown": shown, "often": often, "alnum": test(lambda w: w[:1].isalnum()), "said": test(lambda w: w[:1].isalnum() or w[:1] == "_"), "alpha": test(lambda w: w[:1].isalpha()),
+                "english": test(ENGLISH.__contains__), "foreign": test(_FOREIGN.__contains__), "marked": test(lambda w: not w.isascii()), "hangs": test(_HANGING.__contains__),
+                "stripped": test(_STRIPPED.__contains__) & usual, "closing": test(_CLOSING.__contains__) & usual}
+
+
+def _nothing(low: str) -> bool:
+    bare = low.strip(" .!\"'()[]{}<>*_")
+    return not any(c.isalnum() for c in low) or bool(_UNSAID.fullmatch(bare)) or not PLACEHOLDERS.isdisjoint((low, bare, bare.replace(".", "")))
+
+
+def encoded(pairs: list[tuple[str | None, str | None, str]], counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of (question, answer, probe) pairs: (features of all rows one after another, where each row starts and the end).
 
     ``counts`` are document frequencies of words by hash over all answers of
     the input; words in fewer than one answer of a hundred are masked, so that
     n-grams speak of sentence patterns and not of names.
     """
-    text = tidy(answer)
-    low = text.lower()
-    tokens = _TOKEN.findall(low)
-    asked = Counter(t for t in _TOKEN.findall(tidy(question).lower()) if t[0].isalnum())
-    said = [t for t in tokens if t[0].isalnum() or t[0] == "_"]
-    df = [int(counts[bucket(t)]) for t in tokens]
-    masked = ["<n>" if t[0].isdigit() else t if n * 100 >= total or t in ENGLISH else "<r>" for t, n in zip(tokens, df)]
-    out = [f"len{_level(len(said), (0, 1, 2, 4, 8, 16, 32))}", "bias"]
-    bare_text = low.strip(" .!\"'()[]{}<>*_")
-    nothing = not any(c.isalnum() for c in text) or bool(_UNSAID.fullmatch(bare_text)) or bare_text in PLACEHOLDERS or low in PLACEHOLDERS
-    if kind == "recall" and bare_text in ("nothing", "none"):
-        out.append("naught")
-    elif nothing:
-        out.append("void")
-    pool, fresh = Counter(asked), 0
-    for t in said:
-        if pool[t] > 0:
-            pool[t] -= 1
-        else:
-            fresh += 1
-    share = 1 - sum(pool.values()) / max(1, sum(asked.values()))
-    out += [f"fresh{min(fresh, 6)}", f"back{_level(share, (.2, .4, .6, .8, .95))}", f"both{min(fresh, 6)}:{_level(share, (.4, .8, .95))}"]
-    for n in (1, 2, 3):
-        row = masked if n > 1 else [t for t in masked if t != "<r>"]
-        out += [f"w{n}" + " ".join(row[i:i + n]) for i in range(len(row) - n + 1)]
-    padded = ["<s>", *masked]
-    bare = list(masked)
-    closed = bool(bare) and bare[-1] in ".!?”\"')"
-    while bare and bare[-1] in ".!?”\"'":
-        bare.pop()
-    out += [f"closed{closed}", f"hangs{bool(bare) and bare[-1] in _HANGING}", f"hangs{bool(bare) and bare[-1] in _HANGING}{closed}"]
-    for n in (1, 2, 3, 4):
-        out += [f"end{n}" + " ".join(padded[-n:]), f"stop{n}{'.' if closed else ''}" + " ".join(bare[-n:])]
-    last = next(((t, n) for t, n in zip(reversed(tokens), reversed(df)) if t[0].isalpha()), ("", total))
-    rare = _level(last[1], (1, 3, 8, 20)) if tokens and tokens[-1] == last[0] else 9
-    out += [f"last{rare}", f"last{rare}{closed}", f"tail{'..' if low.endswith(('...', '…')) else low[-1:] if low[-1:] in '-,;:(' else ''}",
-            f"open{(low.count('“') > low.count('”'))}{low.count('(') > low.count(')')}"]
-    plain = _TOKEN.findall(_QUOTED.sub(" ", low))
-    letters = [t for t in plain if t[0].isalpha()]
-    foreign, english = sum(t in _FOREIGN for t in letters), sum(t in ENGLISH for t in letters)
-    marked = sum(any(ord(c) > 127 for c in t) for t in letters)
-    signs = [c for c in low if c.isalpha()]
-    alien = 0 if low.isascii() else sum(ord(c) > 0x24F and "LATIN" not in unicodedata.name(c, "LATIN") for c in signs)
-    out += [f"for{min(foreign, 6)}", f"eng{min(english, 6)}", f"mix{min(foreign, 4)}:{min(english, 4)}", f"more{foreign > english}{_level(foreign - english, (0, 1, 3, 5))}",
-            f"mark{min(marked, 4)}{foreign > english}", f"alien{_level(alien / max(1, len(signs)), (0, .3))}"]
-    mask = (1 << WEIGHT_BITS) - 1
-    return [xxhash.xxh3_64_intdigest(f) & mask for f in out]
+    words, n = _Words(), len(pairs)
+    said, asked, outside = [], [], []
+    sizes, asked_sizes, outside_sizes = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    void, tail, opened, alien, quoted = (np.zeros(n, np.int64) for _ in range(5))
+    for i, (question, answer, kind) in enumerate(pairs):
+        low = tidy(answer).lower()
+        if len(low) < 80:
+            if kind == "recall" and low.strip(" .!\"'()[]{}<>*_") in ("nothing", "none"):
+                void[i] = 2
+            elif _nothing(low):
+                void[i] = 1
+        sizes[i] = words.put(_TOKEN.findall(low), said)
+        asked_sizes[i] = words.put(_TOKEN.findall(tidy(question).lower()), asked)
+        tail[i] = 9 if low.endswith(("...", "…")) else 1 + "-,;:(".find(low[-1:]) if low else 0
+        opened[i] = 2 * (low.count("“") > low.count("”")) + (low.count("(") > low.count(")")) if "(" in low or "“" in low else 0
+        if "“" in low or '"' in low or "«" in low:
+            quoted[i] = 1
+            outside_sizes[i] = words.put(_TOKEN.findall(_QUOTED.sub(" ", low)), outside)
+        if not low.isascii():
+            signs = [c for c in low if c.isalpha()]
+            share = sum(ord(c) > 0x24F and "LATIN" not in unicodedata.name(c, "LATIN") for c in signs) / max(1, len(signs))
+            alien[i] = (share > 0) + (share > 0.3)
+    known = words.known(counts, total)
+    none = len(known["shown"]) - 1
+    rows = np.arange(n)
+    flat, ask, out = (np.array(x, np.int64) for x in (said, asked, outside))
+    row, ask_row, out_row = (np.repeat(rows, z) for z in (sizes, asked_sizes, outside_sizes))
+    tally = lambda at, mask: np.bincount(at[mask], minlength=n)[:n]
+
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def put(kind: int, *values: np.ndarray, at: np.ndarray = rows) -> None:
+        use = void[at] == 0 if kind > 3 or kind == 1 else slice(None)  # what stands for nothing has no other feature
+        found.append((at[use], _mixed(kind, *values)[use]))
+
+    long = tally(row, known["said"][flat])
+    put(1, _level(long, (0, 1, 2, 4, 8, 16, 32)))
+    put(2, np.zeros(n))
+    put(3, void[void > 0], at=rows[void > 0])
+    # Words of the question that come back, each as often as it was asked.
+    keys = lambda at, what, mask: np.unique(at[mask] * (none + 1) + what[mask], return_counts=True)
+    (mine, times), (theirs, wanted) = keys(row, flat, known["said"][flat]), keys(ask_row, ask, known["alnum"][ask])
+    at = np.minimum(np.searchsorted(theirs, mine), max(0, len(theirs) - 1))
+    back = np.where(theirs[at] == mine, np.minimum(times, wanted[at]), 0) if len(theirs) else np.zeros(len(mine), np.int64)
+    returned = np.bincount(mine // (none + 1), weights=back, minlength=n)[:n].astype(np.int64)
+    fresh = np.minimum(long - returned, 6)
+    share = returned / np.maximum(1, tally(ask_row, known["alnum"][ask]))
+    put(4, fresh)
+    put(5, _level(share, (.2, .4, .6, .8, .95)))
+    put(6, fresh, _level(share, (.4, .8, .95)))
+    shown = known["shown"][flat]
+    put(7, shown[shown != 2], at=row[shown != 2])
+    for k in (1, 2):
+        whole = row[k:] == row[:len(row) - k]
+        put(7 + k, *[shown[j:len(shown) - k + j][whole] for j in range(k + 1)], at=row[k:][whole])
+    # The end of the answer, with and without its last marks.
+    starts = np.cumsum(np.append(0, sizes))[:-1]
+    padded = np.append(flat, none)
+    word = lambda end, back: np.where(end - back >= starts, padded[np.maximum(end - back, -1)], none)
+    end = starts + sizes - 1
+    last = word(end, 0)
+    closed = known["closing"][last].astype(np.int64)
+    bare = end.copy()
+    while (strip := known["stripped"][word(bare, 0)]).any():
+        bare = bare - strip
+    hangs = known["hangs"][word(bare, 0)].astype(np.int64)
+    put(10, closed)
+    put(11, hangs)
+    put(12, hangs, closed)
+    for k in range(1, 5):
+        put(12 + k, *[known["shown"][word(end, j)] for j in range(k)])
+        put(16 + k, closed, *[known["shown"][word(bare, j)] for j in range(k)])
+    rare = np.where(known["alpha"][last], _level(known["often"][last], (1, 3, 8, 20)), 9)
+    put(21, rare)
+    put(22, rare, closed)
+    put(23, tail)
+    put(24, opened)
+    # Language, outside of quotations.
+    use = np.where(quoted[row] == 0)[0]
+    plain, plain_row = np.concatenate([flat[use], out]), np.concatenate([row[use], out_row])
+    alpha = known["alpha"][plain]
+    foreign, english, marked = (tally(plain_row, known[x][plain] & alpha) for x in ("foreign", "english", "marked"))
+    more = (foreign > english).astype(np.int64)
+    put(25, np.minimum(foreign, 6))
+    put(26, np.minimum(english, 6))
+    put(27, np.minimum(foreign, 4), np.minimum(english, 4))
+    put(28, more, _level(foreign - english, (0, 1, 3, 5)))
+    put(29, np.minimum(marked, 4), more)
+    put(30, alien)
+    at, what = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(at, kind="stable")
+    return (what[order] >> np.uint64(64 - WEIGHT_BITS)).astype(np.int64), np.searchsorted(at[order], np.arange(n + 1))
+
+
+_BIAS, _VOID, _NAUGHT = (int(_mixed(kind, np.array([value]))[0] >> np.uint64(64 - WEIGHT_BITS)) for kind, value in ((2, 0), (3, 1), (3, 2)))
 
 
 @dataclass
 class Model:
+    """Weights, the calibration line of each label, and the probability from which on it holds."""
+
     weights: np.ndarray
+    line: np.ndarray
     thresholds: np.ndarray
     counts: np.ndarray
     total: int
 
-    def scores(self, rows: list[list[int]]) -> np.ndarray:
-        return _forward(self.weights, *_csr(rows))
+    def probabilities(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return _probability(_forward(self.weights, flat, starts), self.line)
 
-    def label(self, rows: list[list[int]]) -> list[str | None]:
-        """The first label, in the order of ``LABELS``, that exceeds its threshold; None if none does."""
-        over = self.scores(rows) > self.thresholds
+    def label(self, pairs: list[tuple[str | None, str | None, str]]) -> list[str | None]:
+        """The first label, in the order of ``LABELS``, whose probability reaches its threshold; None if none does.
+
+        An answer in another language or a refusal may break off too: what it is goes before how it ends.
+        """
+        if not pairs:
+            return []
+        over = self.probabilities(*encoded(pairs, self.counts, self.total)) >= self.thresholds
         return [LABELS[int(o.argmax())] if o.any() else None for o in over]
 
 
-def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.fromiter((i for r in rows for i in r), np.int64), np.cumsum([0, *map(len, rows)])[:-1]
+def _forward(weights: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(weights[flat], starts[:-1], axis=0) if len(starts) > 1 else np.zeros((0, len(LABELS)))
+
 
+def _probability(z: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z * line[0] + line[1], -40, 40)))
 
-def _forward(weights: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(weights[flat], starts, axis=0) if len(starts) else np.zeros((0, len(LABELS)))
 
+def _taken(flat: np.ndarray, starts: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows ``take`` of encoded pairs."""
+    sizes = starts[take + 1] - starts[take]
+    new = np.cumsum(np.append(0, sizes))
+    return flat[np.repeat(starts[take] - new[:-1], sizes) + np.arange(new[-1])], new
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, epochs: int, seed: int) -> np.ndarray:
-    """One-against-rest logistic weights by Adagrad over small batches."""
+
+def fit_linear(flat: np.ndarray, starts: np.ndarray, target: np.ndarray, epochs: int, seed: int) -> np.ndarray:
+    """One-against-rest logistic weights by Adagrad over small batches; what nothing means is known beforehand."""
     rng = np.random.default_rng(seed)
-    weights = np.zeros((1 << WEIGHT_BITS, len(LABELS)))
+    weights = untaught()
     spread = np.full_like(weights, 1e-3)
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for start in range(0, len(order), 256):
-            take = order[start:start + 256]
-            flat, starts = _csr([rows[i] for i in take])
-            z = np.clip(_forward(weights, flat, starts), -30, 30)
-            slope = (1 / (1 + np.exp(-z)) - target[take]) / 256
-            sizes = np.diff(np.append(starts, len(flat)))
-            used, place = np.unique(flat, return_inverse=True)
-            grad = np.zeros((len(used), len(LABELS)))
-            np.add.at(grad, place, np.repeat(slope, sizes, axis=0))
+        order = rng.permutation(len(starts) - 1)
+        for at in range(0, len(order), 256):
+            take = order[at:at + 256]
+            some, first = _taken(flat, starts, take)
+            z = np.clip(_forward(weights, some, first), -30, 30)
+            slope = np.repeat((1 / (1 + np.exp(-z)) - target[take]) / 256, np.diff(first), axis=0)
+            used, place = np.unique(some, return_inverse=True)
+            grad = np.stack([np.bincount(place, weights=slope[:, c], minlength=len(used)) for c in range(len(LABELS))], axis=1)
             spread[used] += grad**2
             weights[used] -= 0.15 * grad / np.sqrt(spread[used])
     return weights
 
 
+def untaught() -> np.ndarray:
+    """Weights before any pair is seen: an answer that says nothing is empty, others, and nothing recalled, have no defect."""
+    weights = np.zeros((1 << WEIGHT_BITS, len(LABELS)))
+    weights[_BIAS] = -4.0
+    weights[_VOID, LABELS.index("empty")], weights[_NAUGHT] = 8.0, -4.0
+    return weights
+
+
+def calibrated(z: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
+    """Slope and level of the logistic line that turns scores of held-out pairs into probabilities, by damped Newton steps."""
+    if not y.any() or y.all():
+        return 1.0, 0.0
+    # Counts of both kinds keep the targets off nought and one.
+    up, down = y.sum(), (1 - y).sum()
+    t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    a, b = 1.0, 0.0
+    x = np.stack([z, np.ones(len(z))], axis=1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
+        slope = x.T @ (p - t)
+        bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        move = np.linalg.solve(bend, slope)
+        move *= min(1.0, 2.0 / max(1e-12, np.abs(move).max()))
+        a, b = a - move[0], b - move[1]
+    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+
 def synthetic(pairs: list[tuple[str, str, str]], rng: np.random.Generator) -> list[tuple[str, str, str, int | None]]:
     """(question, answer, kind, label or None) made from sound pairs: cut off, copied, swapped, refused, foreign, void."""
     pick = lambda many: many[int(rng.integers(len(many)))]
@@ -188,6 +316,10 @@ def synthetic(pairs: list[tuple[str, str, str]], rng: np.random.Generator) -> li
             # A cut right before or after the end of a sentence leaves a whole one.
             if not re.match(r"\s*[.!?;]", answer[at:]) and cut[-1:] not in ".!?;":
                 out.append((question, cut + pick(("", "", "", "", "...", "…", "-", ",", " ...")), kind, 4))
+        if rng.random() < 0.3:
+            # Broken off after a word that calls for another one.
+            hung = f"{answer.rstrip(' .!?;')}{pick(('', '', ','))} {pick(_HANGING_WORDS)}{pick(('', '', ' the', ' a', ' this'))}"
+            out.append((question, hung + pick(("", "", "", "...", " ")), kind, 4))
         if r < 0.25:
             copied = pick((question, question.lower(), f'"{question}"', f"You asked: {question}", f"> {question}", f"Q: {question}", question.rstrip("?."), question.upper(),
                            f"Question: {question}", f"{question} {question}", re.sub(r"[^\w\s-]", "", question),
@@ -212,7 +344,7 @@ def synthetic(pairs: list[tuple[str, str, str]], rng: np.random.Generator) -> li
                 text = "".join(c for c in unicodedata.normalize("NFKD", text) if c.isascii())
             out.append((question, text, kind, 3))
         elif r < 0.85:
-            blank = pick(("", " ", "​", " ", *PLACEHOLDERS))
+            blank = pick(("", " ", "​", " ", *sorted(PLACEHOLDERS)))
             if not (kind == "recall" and blank in ("nothing", "none")):
                 out.append((question, blank if rng.random() < 0.5 else blank.upper(), kind, 0))
         else:
@@ -238,45 +370,50 @@ def suspect(answer: str) -> bool:
 
 
 def trained(sample: list[tuple[str, str, str]], counts: np.ndarray, total: int, seed: int = 7) -> Model:
-    """Fit twice: the first model takes doubtful pairs out of the sound examples of the second."""
+    """Fit three times: each model takes doubtful pairs out of the sound examples of the next.
+
+    A fifth of the pairs is held out; on it the scores of each label are turned
+    into probabilities and its threshold is chosen.
+    """
     rng = np.random.default_rng(seed)
-    vector = lambda q, a, k: features(q, a, k, counts, total)
     base = [(q, a, k) for q, a, k in sample if any(c.isalnum() for c in tidy(a)) and not suspect(a)]
-    rows = [vector(*b) for b in base]
+    flat, starts = encoded(base, counts, total)
     clean = np.ones(len(base), bool)
-    weights = thresholds = None
-    for stage in range(2):
-        sound = [b for b, ok in zip(base, clean) if ok]
-        if not sound:
+    model = Model(untaught(), np.array([np.ones(len(LABELS)), np.zeros(len(LABELS))]), np.full(len(LABELS), 0.5), counts, total)
+    for stage in range(3):
+        kept = np.flatnonzero(clean)
+        if not len(kept):
             break
-        made = synthetic(sound, rng)
-        all_rows = [*(r for r, ok in zip(rows, clean) if ok), *(vector(q, a, k) for q, a, k, _ in made)]
-        target = np.zeros((len(all_rows), len(LABELS)))
-        for i, (_, _, _, label) in enumerate(made, len(sound)):
+        made = synthetic([base[i] for i in kept], rng)
+        sound, first = _taken(flat, starts, kept)
+        more, second = encoded([m[:3] for m in made], counts, total)
+        all_flat, all_starts = np.concatenate([sound, more]), np.concatenate([first, second[1:] + len(sound)])
+        target = np.zeros((len(all_starts) - 1, len(LABELS)))
+        for i, (_, _, _, label) in enumerate(made, len(kept)):
             if label is not None:
                 target[i, label] = 1
-        held = rng.random(len(all_rows)) < 0.2
-        take = np.flatnonzero(~held)
-        weights = fit_linear([all_rows[i] for i in take], target[take], 3, seed + stage)
-        test = np.flatnonzero(held)
-        z = _forward(weights, *_csr([all_rows[i] for i in test]))
-        thresholds = np.array([_best_threshold(z[:, c], target[test, c]) for c in range(len(LABELS))])
-        if stage == 0:
+        held = rng.random(len(target)) < 0.2
+        take, test = np.flatnonzero(~held), np.flatnonzero(held)
+        weights = fit_linear(*_taken(all_flat, all_starts, take), target[take], 3, seed + stage)
+        z = _forward(weights, *_taken(all_flat, all_starts, test))
+        line = np.array([calibrated(z[:, c], target[test, c]) for c in range(len(LABELS))]).T.reshape(2, len(LABELS))
+        p = _probability(z, line)
+        model = Model(weights, line, np.array([_best_threshold(p[:, c], target[test, c]) for c in range(len(LABELS))]), counts, total)
+        if stage < 2:
             # Whatever looks even faintly defective is no example of a sound pair; endings are too
-            # alike for that, so only clear breaks are taken out.
-            limit = np.minimum(thresholds, 0) - 2
-            limit[LABELS.index("truncated")] = thresholds[LABELS.index("truncated")] + 0.5
-            clean = (_forward(weights, *_csr(rows)) < limit).all(axis=1)
-    if weights is None:
-        weights, thresholds = np.zeros((1 << WEIGHT_BITS, len(LABELS))), np.ones(len(LABELS))
-    return Model(weights, thresholds, counts, total)
+            # alike for that, so only clear breaks are taken out, and once.
+            limit = np.array([_best_threshold(z[:, c], target[test, c]) for c in range(len(LABELS))])
+            at = LABELS.index("truncated")
+            limit = np.where(np.arange(len(LABELS)) == at, np.inf if stage else limit + 0.5, np.minimum(limit, 0) - 4)
+            clean &= (_forward(weights, flat, starts) < limit).all(axis=1)
+    return model
 
 
 def _best_threshold(z: np.ndarray, y: np.ndarray, slack: float = 0.001) -> float:
     """The lowest score whose F1 on held-out pairs is within ``slack`` of the best."""
     if not y.any():
         return 9e9
-    order = np.argsort(-z)
+    order = np.argsort(-z, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
     best = int(np.flatnonzero(f1 >= f1.max() - slack)[-1])
@@ -287,17 +424,12 @@ def _best_threshold(z: np.ndarray, y: np.ndarray, slack: float = 0.001) -> float
 def _label(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, *texts = [c.to_pylist() for c in batch.columns]
-        rows = [features(q, a, k, model.counts, model.total) for q, a, k in zip(*texts)]
-        labels = model.label(rows) if rows else []
-        # What nothing means is settled by rule, not by weight.
-        void, naught = (xxhash.xxh3_64_intdigest(f) & ((1 << WEIGHT_BITS) - 1) for f in ("void", "naught"))
-        labels = ["empty" if void in r else None if naught in r else label for r, label in zip(rows, labels)]
-        found = [(k, label) for k, label in zip(keys, labels) if label]
+        found = [(k, label) for k, label in zip(keys, model.label(list(zip(*texts)))) if label]
         columns = list(zip(*found)) or [()] * 2
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string())], names=["answer_id", "defect_type"])
 
 
-def defective_answers(answers: DataFrame, *, sample_rows: int = 8_000, seed: int = 7) -> DataFrame:
+def defective_answers(answers: DataFrame, *, sample_rows: int = 12_000, seed: int = 7) -> DataFrame:
     """(answer_id, defect_type): pairs of question and the probe's own field that are defective.
 
     Word frequencies come from all answers (hashed into a fixed number of
