@@ -78,21 +78,25 @@ def documents(rng, n):
 def test_levels_on_held_out_documents(spark):
     rng = random.Random(8)
     rows = documents(rng, 400)
-    docs = spark.createDataFrame(rows + [(900, None, "a", "1", 0.0), (901, "", None, None, 0.0), (902, "!?", "a", None, 0.0), (903, "The cup is red. " * 20_000, "a", None, 0.0)], "doc_id long, text string, source string, cik string, y double")
+    docs = spark.createDataFrame(rows + [(900, None, "a", "1", 0.0), (901, "", None, None, 0.0), (902, "!?", "a", None, 0.0), (903, "The cup is red. " * 20_000, "a", None, 0.0), (904, "Der Vorstand rechnet nicht mit einer Erholung und die Nachfrage ist gering.", "a", None, 0.0)], "doc_id long, text string, source string, cik string, y double")
     labels = [(i, rater, max(1, min(5, round(y + bias + rng.choice((0, 0, 0, 1, -1)))))) for i, _, _, _, y in rows[:250] for rater, bias in (("r1", 0), ("r2", 0.4))] + [(1, None, 3), (2, "r1", None), (None, "r1", 2), (77_777, "r1", 2)]
     marks = spark.createDataFrame(labels, "doc_id long, rater string, reading_level int")
-    out = {r["doc_id"]: (r["grade"], r["level"]) for r in reading_levels(docs, marks).collect()}
-    assert len(out) == 404 and out[900] == out[901] == out[902] == (None, None) and out[903][1] <= 2
+    graded = reading_levels(docs, marks).collect()
+    assert {r["english"] for r in graded if r["doc_id"] < 900} == {True} and [r["english"] for r in graded if r["doc_id"] == 904] == [False]
+    out = {r["doc_id"]: (r["grade"], r["level"]) for r in graded}
+    assert len(out) == 405 and out[900] == out[901] == out[902] == (None, None) and out[903][1] <= 2
     error = np.mean([abs(out[i][0] - y) for i, _, _, _, y in rows[250:]])
     assert error < 0.7
-    report = grader_of(docs, marks).report
+    grader = grader_of(docs, marks)
+    report = grader.report
+    assert set(grader.lines) == {"a", "b", "c", None} and sum(grader.graded.values()) == 250
     assert set(report) == {"a", "b", "c", "all"} and report["all"] < 0.8
 
 
 def test_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, "Some text.", "a", None)], "doc_id long, text string, source string, cik string")
     marks = spark.createDataFrame([], "doc_id long, rater string, reading_level int")
-    assert [tuple(r) for r in reading_levels(docs, marks).collect()] == [(1, "a", None, None, None)]
+    assert [tuple(r) for r in reading_levels(docs, marks).collect()] == [(1, "a", None, None, None, None)]
     assert reading_levels(docs.limit(0), marks).count() == 0
 
 

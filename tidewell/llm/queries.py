@@ -9,7 +9,7 @@ from tidewell.llm.cutoff import kept_signals
 from tidewell.llm.leakage import leaked_items, removal_spans
 from tidewell.llm.packing import packed_documents
 from tidewell.llm.pairs import defective_answers
-from tidewell.llm.reading import reading_levels
+from tidewell.llm.reading import grader_of, reading_levels
 from tidewell.llm.variants import linked_answers
 from tidewell.plans.registry import Registry
 from tidewell.sources import load
@@ -77,11 +77,17 @@ def p9_reading_level(spark, folder):
 
 @plans.query("p9_source_profile")
 def p9_source_profile(spark, folder):
-    """How demanding the texts of each source are."""
-    levels = p9_reading_level(spark, folder)
-    return levels.groupBy("source").agg(
-        F.count("grade").alias("documents"), F.avg("grade").alias("mean_grade"),
-        F.percentile_approx("grade", 0.5, 1000).alias("median_grade"), F.percentile_approx("grade", 0.9, 1000).alias("p90_grade"))
+    """How demanding the English texts of each source are, with the graded documents and the mean held-out error behind that."""
+    documents, labels = load(spark, folder, "documents"), load(spark, folder, "reading_labels")
+    grader = grader_of(documents, labels)
+    levels = reading_levels(documents, labels, grader)
+    mine = F.when(F.col("english"), F.col("grade"))
+    profile = levels.groupBy("source").agg(
+        F.count("grade").alias("documents"), F.count(mine).alias("english"), F.avg(mine).alias("mean_grade"),
+        F.percentile_approx(mine, 0.5, 1000).alias("median_grade"), F.percentile_approx(mine, 0.9, 1000).alias("p90_grade"))
+    known = [(n, grader.graded[n], grader.report[n]) for n in sorted(grader.graded)] if grader else []
+    report = spark.createDataFrame(known, "name string, graded int, held_out_error double")
+    return profile.join(F.broadcast(report), F.coalesce("source", F.lit("")) == F.col("name"), "left").drop("name")  # one row a source
 
 
 def queries():

@@ -27,6 +27,11 @@ _FORMAL = frozenset(
     b"pursuant notwithstanding thereof therein whereupon thereby herein accordance subject foregoing insofar aggregate aforementioned hereby "
     b"whereas although however consistent attributable respectively consolidated subsequent absent upon contingent".split())
 _LINKS = frozenset(b"because although while which that whereas until unless since though when if once whose whom after before".split())
+# Frequent short words of English, and of German, French and Spanish (without accents), that the other languages lack.
+_ENGLISH = tuple(b"the of and to that for was are with this from which have has had were would will".split())
+_OTHER = tuple(
+    b"der die das und den dem ein eine nicht mit sich auf fur von ist wird werden bei nach durch zum zur im le la les des du un une est et pour sur avec "
+    b"aux cette que qui pas ses sont dans par el los las una por para con su se del lo como mas".split())
 _LONGEST = 24
 _UPPER = bytes(range(65, 91))
 
@@ -68,6 +73,7 @@ def measure(text: str) -> np.ndarray | None:
         count(",") * per, count(";") * per, (count("(") + count("[")) * per, count("?") * per, count("!") * per, count("-") * per,
         sum(times for word, times in counts.items() if word.isdigit()) * per, (len(raw) - len(raw.translate(None, _UPPER))) / max(1, letters),
         sum(shared) / max(1, len(shared)), max(shared, default=0.0), count("\n") * per, 0.39 * n / m + 11.8 * sound * per - 15.59,
+        (sum(map(counts.__getitem__, _ENGLISH)) - sum(map(counts.__getitem__, _OTHER))) * per,  # no feature: which language it is
     ])
 
 
@@ -140,30 +146,61 @@ def boosted(x: np.ndarray, y: np.ndarray, *, rounds: int = 150, depth: int = 3,
 
 @dataclass
 class Grader:
+    """Trees, a calibration line (slope, level) for each source, and held-out errors; the line of no source is under ``None``."""
+
     trees: Trees
-    slope: float
-    shift: float
+    lines: dict[str | None, tuple[float, float]]
     report: dict[str, float]
+    graded: dict[str, int]
+
+    def grade(self, x: np.ndarray, sources: list[str]) -> np.ndarray:
+        """Grades of measured texts; a source without graded documents has the line of all."""
+        line = np.array([self.lines.get(s, self.lines[None]) for s in sources])
+        return np.clip(line[:, 1] + line[:, 0] * self.trees.predict(x[:, :-1]), 1.0, 5.0)
+
+
+def _line(out: np.ndarray, y: np.ndarray, lean: tuple[float, float], weight: float) -> tuple[float, float]:
+    """Least-squares slope and level, leaning on another line as if on ``weight`` documents spread as these are."""
+    if not len(y):
+        return lean
+    slope, level = lean
+    centre, n = out.mean(), len(y)
+    spread = max(float(((out - centre) ** 2).mean()), 0.05)
+    cross = float(((out - centre) * (y - y.mean())).mean())
+    new = (n * cross + weight * spread * slope) / (n * spread + weight * spread)
+    new = min(max(new, 0.5), 2.0)
+    middle = (n * y.mean() + weight * (level + slope * centre)) / (n + weight)
+    return new, float(middle - new * centre)
 
-    def grade(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.shift + self.slope * self.trees.predict(x), 1.0, 5.0)
+
+def _lines(out: np.ndarray, y: np.ndarray, source: np.ndarray) -> dict[str | None, tuple[float, float]]:
+    whole = _line(out, y, (1.0, 0.0), 1.0)
+    return {None: whole} | {str(n): _line(out[source == n], y[source == n], whole, 30.0) for n in np.unique(source)}
 
 
 def trained(x: np.ndarray, y: np.ndarray, source: np.ndarray) -> Grader:
-    """Trees on all graded documents; calibration line and errors from predictions for sources left out in turn."""
+    """Trees on all graded documents; lines from predictions for sources left out in turn; errors from nested folds.
+
+    Each source is predicted by trees that saw none of it.  Its line, and that
+    of all, are fitted on four fifths of the documents and the errors measured
+    on the fifth left out, in turn.
+    """
+    x = x[:, :-1]
     out = np.full(len(y), y.mean())
     names = np.unique(source)
     for name in names:
         inside = source == name
         if (~inside).sum() >= 20:
             out[inside] = boosted(x[~inside], y[~inside], rounds=80).predict(x[inside])
-    spread = float(((out - out.mean()) ** 2).sum())
-    slope = float(((out - out.mean()) * (y - y.mean())).sum() / spread) if spread > 0 else 1.0
-    slope = min(max(slope, 0.5), 2.0)
-    shift = float(y.mean() - slope * out.mean())
-    error = np.abs(np.clip(shift + slope * out, 1, 5) - y)
+    error = np.zeros(len(y))
+    fold = np.random.default_rng(5).permutation(len(y)) % 5
+    for k in range(5):
+        test = fold == k
+        lines = _lines(out[~test], y[~test], source[~test])
+        line = np.array([lines.get(str(s), lines[None]) for s in source[test]]).reshape(-1, 2)
+        error[test] = np.abs(np.clip(line[:, 1] + line[:, 0] * out[test], 1, 5) - y[test])
     report = {str(n): float(error[source == n].mean()) for n in names} | {"all": float(error.mean())}
-    return Grader(boosted(x, y), slope, shift, report)
+    return Grader(boosted(x, y), _lines(out, y, source), report, {str(n): int((source == n).sum()) for n in names})
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +213,16 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _graded(batches: Iterator[pa.RecordBatch], grader: Grader) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         rows = [measure(t) if t else None for t in texts]
         some = [i for i, r in enumerate(rows) if r is not None]
         grades: list[float | None] = [None] * len(rows)
+        english: list[bool | None] = [None] * len(rows)
         if some:
-            for i, g in zip(some, grader.grade(np.stack([rows[i] for i in some]))):
-                grades[i] = float(g)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)], pa.array(grades, pa.float64())],
-                                         names=["doc_id", "source", "cik", "grade"])
+            for i, g in zip(some, grader.grade(np.stack([rows[i] for i in some]), [sources[i] or "" for i in some])):
+                grades[i], english[i] = float(g), bool(rows[i][-1] >= 0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)], pa.array(grades, pa.float64()), pa.array(english, pa.bool_())],
+                                         names=["doc_id", "source", "cik", "grade", "english"])
 
 
 def grader_of(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Grader | None:
@@ -213,16 +251,18 @@ def grader_of(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000)
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, grader: Grader | None = None) -> DataFrame:
-    """(doc_id, source, cik, grade, level): estimated difficulty of every document, 1 (young child) to 5 (specialist).
+    """(doc_id, source, cik, grade, level, english): estimated difficulty of every document, 1 (young child) to 5 (specialist).
 
-    ``grade`` is the calibrated estimate and ``level`` its nearest whole
-    number.  Null, blank and wordless texts have null for both; so have all
+    ``grade`` is the estimate calibrated for the source and ``level`` its
+    nearest whole number.  ``english`` is false where words of other languages
+    outnumber English ones: the features are those of English, so such a grade
+    says little.  Null, blank and wordless texts have null for all three; so have all
     texts when fewer than 20 documents are graded.  Whole texts are measured.
     """
     grader = grader or grader_of(documents, labels)
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "cik")
     if grader is None:
-        return base.drop("text").withColumns({"grade": F.lit(None).cast("double"), "level": F.lit(None).cast("int")})
+        return base.drop("text").withColumns({"grade": F.lit(None).cast("double"), "level": F.lit(None).cast("int"), "english": F.lit(None).cast("boolean")})
     sent = documents.sparkSession.sparkContext.broadcast(grader)
-    graded = base.mapInArrow(lambda it: _graded(it, sent.value), "doc_id long, source string, cik string, grade double")
-    return graded.withColumn("level", F.round("grade").cast("int"))
+    graded = base.mapInArrow(lambda it: _graded(it, sent.value), "doc_id long, source string, cik string, grade double, english boolean")
+    return graded.select("doc_id", "source", "cik", "grade", F.round("grade").cast("int").alias("level"), "english")
