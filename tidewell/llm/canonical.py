@@ -93,7 +93,7 @@ def ranked_entries(values: DataFrame, reference: DataFrame, *, value: str = "nam
     given = values.select(F.col(value).cast("string").alias("value")).where("value is not null").distinct().withColumn("id", F.xxhash64("value"))
     typed = stored(own_words(given, listed, longest), "typed")
     asked = stored(asked_forms(typed), "asked")
-    alike = alike_words(delete_blocked(asked, listed, longest, dictionary_rows), "damerau")
+    alike = stored(alike_words(delete_blocked(asked, listed, longest, dictionary_rows), "damerau"), "alike")
     pairs = candidate_pairs(asked, listed, alike, plain_acronyms=False)
     return scored_pairs(pairs, typed, names)
 

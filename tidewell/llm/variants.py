@@ -112,7 +112,7 @@ def linked_names(values: DataFrame, index: Index, *, margin: float = 0.02, least
     """
     typed = typed_values(values).withColumn("known", F.lit(None).cast("array<string>"))
     asked = stored(asked_forms(typed), "asked")
-    alike = alike_words(suffix_blocked(asked, index, common), "lcs")
+    alike = stored(alike_words(suffix_blocked(asked, index, common), "lcs"), "alike")
     pairs = candidate_pairs(asked, index.listed, alike, plain_acronyms=True)
     return decided(scored_pairs(pairs, typed, index.names), margin, least).select("value", "entity")
 
