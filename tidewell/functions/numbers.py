@@ -29,7 +29,20 @@ def relative(stock: Column, bench: Column) -> Column:
 
 
 def annualised(spread: Column, days: Column) -> Column:
-    return F.pow(1 + spread, F.lit(365.25) / F.nullif(days, F.lit(0))) - 1
+    """Yearly rate of a spread earned in ``days``; raises where ``days`` is not positive."""
+    ok = F.when(days > 0, F.lit(True)).when(days.isNull(), None).otherwise(F.raise_error(F.lit("days must be positive")).cast("boolean"))
+    return F.when(ok, F.pow(1 + spread, F.lit(365.0) / days) - 1)
+
+
+def gross_spread(price: Column, deal: Column) -> Column:
+    """What a deal price pays above the price; raises where the price is not positive."""
+    ok = F.when(price > 0, F.lit(True)).when(price.isNull(), None).otherwise(F.raise_error(F.lit("price must be positive")).cast("boolean"))
+    return F.when(ok, deal / price - 1)
+
+
+def linear_quantile(value: str | Column, q: float) -> Column:
+    """Exact quantile with linear interpolation, as an aggregate."""
+    return F.percentile(value, q)
 
 
 def growth(now: Column, before: Column, periods: int) -> Column:
@@ -44,10 +57,20 @@ def renormalised(values: Sequence[Column], weights: Sequence[float]) -> Column:
     return top / F.nullif(bottom, F.lit(0.0))
 
 
-def likelihood(value: Column, target: float, scale: float) -> Column:
-    """Unnormalised normal density; a missing value speaks neither way."""
-    z = (value - target) / scale
-    return F.coalesce(F.exp(-0.5 * z * z), F.lit(1.0))
+def closeness(value: Column, target: float, scale: float) -> Column:
+    """exp(-|value - target| / scale): 1 at the target; a missing value adds nothing."""
+    return F.coalesce(F.exp(-F.abs(value - target) / scale), F.lit(0.0))
+
+
+def softmax_label(scores: dict[str, Column], floor: float, unsure: str = "unknown") -> tuple[Column, Column, Column]:
+    """(label, confidence, margin) of additive scores: softmax, the first of equal ones, ``unsure`` below ``floor``."""
+    top = F.greatest(*scores.values())
+    weights = {name: F.exp(s - top) for name, s in scores.items()}
+    total = sum(list(weights.values())[1:], list(weights.values())[0])
+    shares = F.array_sort(F.array(*[w / total for w in weights.values()]), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0))
+    best = shares[0]
+    label = F.coalesce(*[F.when(s == top, name) for name, s in scores.items()])
+    return F.when(best < floor, unsure).otherwise(label), best, best - shares[1]
 
 
 def vapour_pressure(celsius: Column) -> Column:

@@ -1,9 +1,11 @@
 """Text functions as columns."""
 
-from __future__ import annotations
+import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Legal forms that a normalised company name is without.
 LEGAL_WORDS = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "nv", "sa", "ag", "llc", "lp", "holdings", "group", "the")
@@ -72,6 +74,18 @@ def ladder(text: Column, *rungs: tuple[str, str], other: str = "misc") -> Column
     return out.otherwise(other)
 
 
+@F.pandas_udf(StringType())
+def canonical_json(text: pd.Series) -> pd.Series:
+    """JSON with sorted keys, no blanks and ASCII escapes; null for what is not JSON.  Key order needs a parser: there is no built-in."""
+    def one(value: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+        except (TypeError, ValueError):
+            return None
+
+    return text.map(one)
+
+
 def embedded_json(text: Column, schema: str) -> Column:
     """The first ``{`` to the last ``}`` of a text, read as JSON."""
     return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema)

@@ -169,3 +169,30 @@ def iso_instant(micros: Column) -> Column:
         )
 
     return _let(micros, text)
+
+
+def end_of_day(day: Column) -> Column:
+    """The last microsecond of a date."""
+    return F.timestamp_micros(F.unix_micros(F.date_add(F.to_date(day), 1).cast("timestamp")) - 1)
+
+
+def moment(text: Column, last: bool = False) -> Column:
+    """An ISO date or time as UTC instant, null if it is neither; a bare date is its first or, with ``last``, its last microsecond."""
+    bare = F.length(F.trim(text)) == 10
+    at = F.try_to_timestamp(F.trim(text))
+    return F.when(bare & F.lit(last), end_of_day(at)).otherwise(at)
+
+
+def horizon(cutoff: Column, given: Column, days: int = 90) -> Column:
+    """The given horizon, else the end of the day ``days`` after the cutoff."""
+    return F.coalesce(given, end_of_day(F.date_add(F.to_date(cutoff), days)))
+
+
+def week_ending(day: Column, weekday: str = "FRI") -> Column:
+    """The given weekday on or after a date."""
+    return F.next_day(F.date_sub(F.to_date(day), 1), weekday)
+
+
+def in_open_interval(at: Column, start: Column, stop: Column) -> Column:
+    """start < at <= stop; an open end has no bound."""
+    return (start.isNull() | (at > start)) & (stop.isNull() | (at <= stop))

@@ -16,10 +16,17 @@ def two_level(rows: DataFrame, *, outer: str, inner: str, value: str, red: Colum
     ).withColumn("bucket", F.least("red_groups", F.lit(4)))
 
 
-def upper_median(value: str) -> Column:
-    """Element n // 2 of the sorted values, counted from 0: the upper one of two middle values."""
-    listed = F.sort_array(F.collect_list(value))
-    return F.try_element_at(listed, (F.floor(F.size(listed) / 2) + 1).cast("int"))
+def upper_median(rows: DataFrame, *, key: str, value: str, name: str) -> DataFrame:
+    """(key, name): element n // 2 of the sorted values, counted from 0: the upper one of two middle values.
+
+    Values are counted before they are ranked, so that a hot key costs as many
+    rows as it has distinct values; no group is collected.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.groupBy(key).agg(F.sum("__n").alias("__t"))
+    upto = F.sum("__n").over(Window.partitionBy(key).orderBy(value))
+    ranked = counts.withColumn("__u", upto).join(total.withColumnRenamed(key, "__k"), F.col(key).eqNullSafe(F.col("__k")))
+    return ranked.where(F.col("__u") > F.floor(F.col("__t") / 2)).groupBy(key).agg(F.min(value).alias(name))
 
 
 def with_total(rows: DataFrame, key: str, *aggregates: Column, total: str = "all") -> DataFrame:

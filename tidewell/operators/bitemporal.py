@@ -53,6 +53,89 @@ def manifest(items: DataFrame, header: str, ordinal: str, value: str) -> DataFra
     return listed.select(header, F.size("l").alias("items"), F.sha2(joined, 256).alias("manifest_hash"))
 
 
+def upserted(stored: DataFrame, new: DataFrame, *, key: str, content: str) -> DataFrame:
+    """The rows of ``new`` to append to a content-addressed table: first writer wins, each key once.
+
+    A key that comes with two contents, among the new rows or against the
+    stored ones, raises when the rows are read.
+    """
+    both = new.select(key, F.struct(*[c for c in new.columns if c != key]).alias("__v"), F.col(content).alias("__c"), F.lit(1).alias("__new")).unionByName(
+        stored.select(key, F.lit(None).alias("__v"), F.col(content).alias("__c"), F.lit(0).alias("__new")), allowMissingColumns=True)
+    found = both.groupBy(key).agg(F.min("__v").alias("__v"), F.min("__new").alias("__new"), F.min("__c").alias("__a"), F.max("__c").alias("__b"))
+    clash = F.when(F.col("__a") == F.col("__b"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("two contents under "), F.col(key).cast("string"))).cast("boolean"))
+    return found.where(clash & (F.col("__new") == 1)).select(key, *[F.col(f"__v.{c}").alias(c) for c in new.columns if c != key])
+
+
+def checked_append(stored: DataFrame, new: DataFrame, keys: Sequence[str], parents: dict[str, DataFrame], order: Sequence[tuple[str, str]] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, (reason, keys) of refused rows).
+
+    A row is refused when a parent key is not there (``parents`` maps a column
+    to a table whose first column holds it; null refers to nothing and passes),
+    or when the first of two times lies after the second.  Rows whose key is
+    stored are neither: the same key is the same row.
+    """
+    fresh = append_missing(stored, new, keys)
+    reason = F.lit(None).cast("string")
+    for early, late in order:
+        reason = F.coalesce(reason, F.when(F.col(early) > F.col(late), F.lit(f"{early} after {late}")))
+    for column, table in parents.items():
+        known = table.select(F.col(table.columns[0]).alias("__p")).distinct().withColumn(f"__has_{column}", F.lit(True))
+        fresh = fresh.join(known, F.col(column) == F.col("__p"), "left").drop("__p")
+        reason = F.coalesce(reason, F.when(F.col(column).isNotNull() & F.col(f"__has_{column}").isNull(), F.lit(f"{column} unknown")))
+    judged = fresh.withColumn("reason", reason).drop(*[f"__has_{c}" for c in parents])
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select("reason", *keys)
+
+
+def three_clocks(versions: DataFrame, *, fact: Sequence[str], starts: str, ends: str, available: str, recorded: str, valid_at: Column, known_at: Column, system_at: Column) -> DataFrame:
+    """Versions that hold at ``valid_at``, could be known at ``known_at`` and stand in the store at ``system_at``.
+
+    Effective time is half-open, availability a bound, and system time lasts
+    from the record to the next version of the same fact, half-open as well.
+    """
+    rows = history(versions, list(fact), recorded, "__until")
+    return rows.where(holds(F.col(starts), F.col(ends), valid_at) & (F.col(available) <= known_at) & holds(F.col(recorded), F.col("__until"), system_at)).drop("__until")
+
+
+def manifest_faults(items: DataFrame, *, header: str, ordinal: str, known_at: str, system_at: str, available: str, recorded: str, until: str) -> DataFrame:
+    """(header, ordinal, fault) of items that a manifest must not hold.
+
+    ``missing``: no version was found (``recorded`` is null); ``look-ahead``:
+    it was not available at the header's ``known_at``; ``invisible``: the store
+    did not hold it at ``system_at``; ``repeated``: the ordinal occurs twice.
+    """
+    twice = F.count(F.lit(1)).over(Window.partitionBy(header, ordinal)) > 1
+    faults = F.array_compact(F.array(
+        F.when(F.col(recorded).isNull(), "missing"), F.when(F.col(available) > F.col(known_at), "look-ahead"),
+        F.when(~holds(F.col(recorded), F.col(until), F.col(system_at)), "invisible"), F.when(F.col("__twice"), "repeated")))
+    return items.withColumn("__twice", twice).select(header, ordinal, F.explode(faults).alias("fault"))
+
+
+def run_faults(runs: DataFrame, headers: DataFrame, *, manifest: str, equal: Sequence[tuple[str, str]]) -> DataFrame:
+    """(all run columns, fault) of runs whose manifest is unknown or differs from them in one of the ``equal`` (run, header) columns."""
+    known = headers.select(F.col(manifest).alias("__m"), *[F.col(h).alias(f"__{i}") for i, (_, h) in enumerate(equal)])
+    met = runs.join(known, F.col(manifest) == F.col("__m"), "left")
+    faults = F.array(F.when(F.col("__m").isNull(), "unknown manifest"), *[
+        F.when(F.col("__m").isNotNull() & ~F.col(r).eqNullSafe(F.col(f"__{i}")), F.lit(f"{r} differs")) for i, (r, _) in enumerate(equal)])
+    return met.select(*runs.columns, F.explode(F.array_compact(faults)).alias("fault"))
+
+
+def outcome_inputs(predictions: DataFrame, cases: DataFrame, outcomes: DataFrame, *, case: str, recorded: str, outcome_recorded: str, outcome_key: Sequence[str], available: str, system_at: Column, evaluated_at: Column) -> DataFrame:
+    """Predictions with their case and the outcome version that the store held at ``system_at``.
+
+    Predictions count if recorded by then, outcomes if their version stood then
+    and was available at ``evaluated_at``.
+    """
+    stood = history(outcomes, list(outcome_key), outcome_recorded, "__until").where(holds(F.col(outcome_recorded), F.col("__until"), system_at) & (F.col(available) <= evaluated_at)).drop("__until")
+    return predictions.where(F.col(recorded) <= system_at).join(cases, case).join(stood, case)
+
+
+def pair_hash(rows: DataFrame, *, group: str, first: str, second: str) -> DataFrame:
+    """(group, pairs, pair_hash): hash of the ordered (first, second) pairs of a group, each in brackets."""
+    listed = rows.groupBy(group).agg(F.sort_array(F.collect_set(F.struct(F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b")))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: F.concat(F.lit("["), x["a"], F.lit(","), x["b"], F.lit("]"))), ",")
+    return listed.select(group, F.size("l").cast("long").alias("pairs"), F.sha2(text, 256).alias("pair_hash"))
+
+
 def violations(*checks: tuple[str, DataFrame]) -> DataFrame:
     """(check, violations): row counts of several violation queries in one table."""
     return reduce(DataFrame.unionByName, [rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations") for name, rows in checks])

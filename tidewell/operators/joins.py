@@ -14,20 +14,59 @@ def asof(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_t
 
     Both sides are united and sorted once; the last known row is carried
     along.  ``exact`` lets equal times match.  Rows of ``left`` without match
-    keep nulls; of several right rows at one time the greatest values count.
+    keep nulls, so do those with a null key; of several right rows at one time the greatest values count.
     """
     back = direction == "backward"
     kept = F.struct(F.col(right_time).alias("__at"), *values)
     turn = 0 if exact else 2
     marked = right.select(F.col(key), F.col(right_time).alias("__t"), F.lit(turn).alias("__turn"), kept.alias("__r"), F.lit(None).alias("__l"))
     probe = left.select(F.col(key), F.col(left_time).alias("__t"), F.lit(1).alias("__turn"), F.lit(None).alias("__r"), F.struct(*left.columns).alias("__l"))
-    both = marked.where(F.col(right_time).isNotNull()).unionByName(probe)
+    both = marked.where(F.col(right_time).isNotNull() & F.col(key).isNotNull()).unionByName(probe)
     time = F.col("__t") if back else F.col("__t").desc()
     order = Window.partitionBy(key).orderBy(time, "__turn", F.col("__r"))
     found = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("__f", found).where("__turn = 1").select("__l.*", F.col("__f.__at").alias(f"matched_{right_time}"), *[F.col(f"__f.{v}").alias(f"matched_{v}") for v in values])
 
 
+def nth_forward(left: DataFrame, calendar: DataFrame, *, key: str, day: str, same_day: Column, calendar_day: str, values: Sequence[str], delay: int = 0) -> DataFrame:
+    """``left`` with the row of its key's calendar at which it can first act, ``delay`` rows later.
+
+    The first calendar day at or after ``day`` counts where ``same_day`` holds,
+    the first one after it elsewhere.  Rows whose calendar ends before keep
+    nulls.  Calendar days are distinct per key.
+    """
+    numbered = calendar.where(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(calendar_day)))
+    start = left.withColumn("__from", F.when(same_day, F.to_date(day)).otherwise(F.date_add(F.to_date(day), 1)))
+    first = asof(start, numbered, key=key, left_time="__from", right_time=calendar_day, values=["__n"], direction="forward")
+    want = first.withColumn("__n", F.col("matched___n") + delay).drop("__from", f"matched_{calendar_day}", "matched___n")
+    found = numbered.select(key, "__n", F.col(calendar_day).alias(f"entry_{calendar_day}"), *[F.col(v).alias(f"entry_{v}") for v in values])
+    return want.join(found, [key, "__n"], "left").drop("__n")
+
+
+def near(left: DataFrame, right: DataFrame, *, key: str, left_day: str, right_day: str, reach: int) -> DataFrame:
+    """(all of left, ``near`` count, ``nearest`` signed days): rows of the other table at most ``reach`` days away; of two equally near the earlier one.
+
+    Days are cut into buckets of ``reach`` + 1 days; a right row is repeated in
+    its own bucket and its neighbours, so that the join is an equi-join.
+    """
+    wide = reach + 1
+    number = lambda c: F.unix_date(F.to_date(c))
+    other = right.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), number(right_day).alias("__r"))
+    other = other.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__r") / wide) - 1, F.floor(F.col("__r") / wide) + 1)))
+    probe = left.withColumn("__row", F.struct(*left.columns)).withColumn("__l", number(left_day)).withColumn("__c", F.floor(F.col("__l") / wide))
+    delta = F.col("__r") - F.col("__l")
+    met = probe.join(other, (F.col(key) == F.col("__k")) & (F.col("__c") == F.col("__b")) & (F.abs(delta) <= reach), "left")
+    found = met.groupBy("__row").agg(F.count("__r").alias("near"), F.min_by(delta, F.struct(F.abs(delta), delta)).alias("nearest"))
+    return found.select("__row.*", "near", "nearest")
+
+
+def overlapping_lists(left: DataFrame, right: DataFrame, *, left_list: str, right_list: str, left_id: str, right_id: str, condition: Column) -> DataFrame:
+    """(left_id, right_id, shared): pairs whose lists share elements and for which ``condition`` holds, with the number of elements shared."""
+    a = left.withColumn("__x", F.explode(F.array_distinct(left_list))).where("__x is not null")
+    b = right.withColumn("__x", F.explode(F.array_distinct(right_list))).where("__x is not null")
+    return a.join(b, "__x").where(condition).groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("shared"))
+
+
 def offset_rows(series: DataFrame, *, key: str, order: str, value: str, rows: int, name: str) -> DataFrame:
     """Each row with the value ``rows`` rows later on its own calendar."""
     return series.withColumn(name, F.lead(value, rows).over(Window.partitionBy(key).orderBy(order)))

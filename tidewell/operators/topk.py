@@ -10,9 +10,33 @@ from pyspark.sql import functions as F
 
 
 def top_fraction(rows: DataFrame, *, score: str, ident: str, fraction: float) -> DataFrame:
-    """The ceil(fraction * n) rows with the highest scores, ties by id: a global sort with a limit."""
-    n = rows.count()
-    return rows.orderBy(F.desc_nulls_last(score), ident).limit(-(-int(round(fraction * n * 1e9)) // 10**9))
+    """The ceil(fraction * n) rows with the highest scores, ties by id.
+
+    Scores are counted first; the running count over distinct scores, built in
+    two steps over ranges of the score, gives the cutoff.  Rows above it are
+    kept as they lie and only its ties are ranked: no row goes through one task.
+    """
+    counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    n, = rows.agg(F.count(F.lit(1))).first()
+    want = -(-int(round(fraction * n * 1e9)) // 10**9)
+    # One row for each of at most 1,000 ranges of the score tells in which range the cutoff lies.
+    cuts = counts.agg(F.percentile_approx("__s", [i / 1000 for i in range(1, 1000)], 10_000).alias("c")).first()["c"] or []
+    slot = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: F.col("__s") >= c)) if cuts else F.lit(0)
+    above, inside = 0, None
+    for place, many in sorted(((r["p"], r["n"]) for r in counts.groupBy(slot.alias("p")).agg(F.sum("__n").alias("n")).collect()), reverse=True):
+        if above + many >= want:
+            inside = place
+            break
+        above += many
+    down = F.sum("__n").over(Window.orderBy(F.desc("__s")))  # the distinct scores of one range
+    at = counts.where(slot == inside).withColumn("__u", down).where(F.col("__u") + above >= want).orderBy(F.desc("__s")).first() if inside is not None and want else None
+    if at is None:  # every score is kept, and nulls after them
+        rest = want - above
+        nulls = rows.where(F.col(score).isNull()).orderBy(ident).limit(max(0, rest))
+        return rows.where(F.col(score).isNotNull()).unionByName(nulls) if want else rows.limit(0)
+    left = want - above - (at["__u"] - at["__n"])
+    ties = rows.where(F.col(score) == F.lit(at["__s"])).orderBy(ident).limit(left)
+    return rows.where(F.col(score) > F.lit(at["__s"])).unionByName(ties)
 
 
 def top_per_group(rows: DataFrame, *, group: str, order: list, k: int) -> DataFrame:

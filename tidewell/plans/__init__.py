@@ -1,8 +1,8 @@
 """Registered queries of the core, by module."""
 
-from tidewell.plans import grouping, joining, known_at, statistics, store, texts, windowing
+from tidewell.plans import clocks, grouping, joining, known_at, statistics, store, texts, windowing
 
-MODULES = (known_at, store, joining, windowing, grouping, statistics, texts)
+MODULES = (known_at, store, clocks, joining, windowing, grouping, statistics, texts)
 
 
 def queries():

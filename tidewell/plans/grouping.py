@@ -35,7 +35,7 @@ def two_level_composite(spark, folder):
     SELECT l_suppkey, x AS upper_median FROM (SELECT l_suppkey, l_quantity AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS k, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
     WHERE k = n // 2 + 1""")
 def upper_median(spark, folder):
-    return load(spark, folder, "lineitem").groupBy("l_suppkey").agg(A.upper_median("l_quantity").alias("upper_median"))
+    return A.upper_median(load(spark, folder, "lineitem"), key="l_suppkey", value="l_quantity", name="upper_median")
 
 
 @plans.query("with_total", """

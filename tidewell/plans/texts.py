@@ -89,17 +89,19 @@ def case_payload(spark, folder):
     return load(spark, folder, "experiment_cases").select("case_id", parsed.alias("p")).select("case_id", "p.rule", "p.ticker").distinct()
 
 
-@plans.query("softmax_classes", """
-    WITH l AS (SELECT p_partkey, exp(-0.5 * pow((p_size - 10) / 8.0, 2)) * exp(-0.5 * pow((p_retailprice - 1000) / 200.0, 2)) AS a, exp(-0.5 * pow((p_size - 25) / 8.0, 2)) * exp(-0.5 * pow((p_retailprice - 1200) / 200.0, 2)) AS b,
-               exp(-0.5 * pow((p_size - 40) / 8.0, 2)) * exp(-0.5 * pow((p_retailprice - 1500) / 200.0, 2)) AS c FROM part)
-    SELECT p_partkey, CASE WHEN greatest(a, b, c) / (a + b + c) < 0.5 THEN 'unknown' WHEN a >= b AND a >= c THEN 'small' WHEN b >= c THEN 'middle' ELSE 'large' END AS class, round(greatest(a, b, c) / (a + b + c), 6) AS confidence FROM l""")
+_SOFTMAX = " UNION ALL ".join(
+    f"SELECT p_partkey, {i} AS i, '{n}' AS name, exp(-abs(p_size - {size}) / 8.0::DOUBLE) + exp(-abs(p_retailprice - {price}) / 200.0::DOUBLE) + CASE WHEN contains(lower(p_name), '{word}') THEN 3.0 ELSE 0 END::DOUBLE AS s FROM part"
+    for i, (n, size, price, word) in enumerate((("small", 10, 1000, "5"), ("middle", 25, 1200, "77"), ("large", 40, 1500, "9"))))
+
+
+@plans.query("softmax_classes", f"""
+    WITH s AS ({_SOFTMAX}), e AS (SELECT *, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS q, row_number() OVER (PARTITION BY p_partkey ORDER BY s DESC, i) AS k FROM s WINDOW w AS (PARTITION BY p_partkey))
+    SELECT p_partkey, CASE WHEN max(q) < 0.5 THEN 'unknown' ELSE min(name) FILTER (k = 1) END AS class, round(max(q), 6) AS confidence, round(max(q) - max(q) FILTER (k = 2), 6) AS margin FROM e GROUP BY p_partkey""")
 def softmax_classes(spark, folder):
     parts = load(spark, folder, "part")
-    for name, size, price in (("a", 10, 1000), ("b", 25, 1200), ("c", 40, 1500)):
-        parts = parts.withColumn(name, N.likelihood(F.col("p_size"), size, 8.0) * N.likelihood(F.col("p_retailprice"), price, 200.0))
-    best = F.greatest("a", "b", "c") / (F.col("a") + F.col("b") + F.col("c"))
-    label = F.when(best < 0.5, "unknown").when((F.col("a") >= F.col("b")) & (F.col("a") >= F.col("c")), "small").when(F.col("b") >= F.col("c"), "middle").otherwise("large")
-    return parts.select("p_partkey", label.alias("class"), F.round(best, 6).alias("confidence"))
+    score = lambda size, price, tag: N.closeness(F.col("p_size"), size, 8.0) + N.closeness(F.col("p_retailprice"), price, 200.0) + F.when(F.lower("p_name").contains(tag), 3.0).otherwise(0.0)
+    label, confidence, margin = N.softmax_label({"small": score(10, 1000, "5"), "middle": score(25, 1200, "77"), "large": score(40, 1500, "9")}, floor=0.5)
+    return parts.select("p_partkey", label.alias("class"), F.round(confidence, 6).alias("confidence"), F.round(margin, 6).alias("margin"))
 
 
 @plans.query("return_kinds", """
