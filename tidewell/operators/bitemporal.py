@@ -129,11 +129,17 @@ def outcome_inputs(predictions: DataFrame, cases: DataFrame, outcomes: DataFrame
     return predictions.where(F.col(recorded) <= system_at).join(cases, case).join(stood, case)
 
 
-def pair_hash(rows: DataFrame, *, group: str, first: str, second: str) -> DataFrame:
-    """(group, pairs, pair_hash): hash of the ordered (first, second) pairs of a group, each in brackets."""
-    listed = rows.groupBy(group).agg(F.sort_array(F.collect_set(F.struct(F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b")))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: F.concat(F.lit("["), x["a"], F.lit(","), x["b"], F.lit("]"))), ",")
-    return listed.select(group, F.size("l").cast("long").alias("pairs"), F.sha2(text, 256).alias("pair_hash"))
+def pair_hash(rows: DataFrame, *, group: str, first: str, second: str, digits: int = 3) -> DataFrame:
+    """(group, pairs, pair_hash): one hash for the set of (first, second) pairs of a group.
+
+    Pairs are hashed, put in order within 16 ** ``digits`` blocks by the first
+    digits, each block hashed, and the block hashes hashed in order: no task
+    holds more than a block of a hot group.
+    """
+    pairs = rows.select(group, digest(F.col(first), F.col(second)).alias("h")).distinct()
+    blocks = pairs.groupBy(group, F.substring("h", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("h"))
+    found = blocks.groupBy(group).agg(F.sum("n").alias("pairs"), F.sort_array(F.collect_list(F.struct("b", "h"))).alias("l"))
+    return found.select(group, "pairs", F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ","), 256).alias("pair_hash"))
 
 
 def violations(*checks: tuple[str, DataFrame]) -> DataFrame:

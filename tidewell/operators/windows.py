@@ -73,13 +73,42 @@ def causal_threshold(rows: DataFrame, *, key: str, time: str, ident: str, score:
     return walked.withColumnRenamed("i", ident)
 
 
-def causal_z(rows: DataFrame, *, key: str, time: str, fields: dict[str, int], name: str, least: int = 2) -> DataFrame:
-    """Mean of signed z-scores against strictly earlier rows; a field counts 0 with too few priors or no spread."""
+def lookback_threshold(rows: DataFrame, *, key: str, time: str, ident: str, score: str, fraction: float, warmup: int, lookback: int) -> DataFrame:
+    """(ident, threshold, prior_count, selected): as ``causal_threshold``, judged by the last ``lookback`` strictly earlier scores.
+
+    Of earlier scores at one instant those with the greater id are the later ones.
+    """
+    data = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
+    w = Window.partitionBy(key).orderBy(F.col(time), F.col(ident))
+    # The strictly earlier rows end where the ties of the instant begin.
+    placed = data.withColumn("__n", F.row_number().over(w)).withColumn("__first", F.min("__n").over(Window.partitionBy(key, time)))
+    recent = placed.withColumn("__near", F.collect_list(F.struct("__n", score)).over(w.rowsBetween(-lookback, -1)))
+    ties = F.max(F.col("__n") - F.col("__first")).over(Window.partitionBy(key, time))
+    known = recent.withColumn("__ties", ties).withColumn("__own", F.slice(F.array_sort(F.transform(F.filter("__near", lambda x: x["__n"] < F.col("__first")), lambda x: x[score])), 1, lookback))
+    # Later rows of an instant borrow the list of its first row.
+    shared = known.withColumn("__use", F.first("__own").over(Window.partitionBy(key, time).orderBy(ident).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    n = F.size("__use")
+    at = (n - 1) * (1 - fraction)
+    low = F.floor(at).cast("int")
+    value = F.col("__use")[low] + (F.col("__use")[F.least(low + 1, n - 1)] - F.col("__use")[low]) * (at - low)
+    limit = F.when((n >= warmup) & (n > 0), value)
+    return shared.select(ident, limit.alias("threshold"), n.alias("prior_count"), F.coalesce(F.col(score) >= limit, F.lit(False)).alias("selected"))
+
+
+def causal_z(rows: DataFrame, *, key: str, time: str, fields: dict[str, int], name: str, least: int = 2, population: bool = False) -> DataFrame:
+    """Mean of signed z-scores against strictly earlier rows; a field counts 0 with too few priors or no spread.
+
+    With ``population`` the deviation is that of the population, a deviation
+    of 0 counts as 1, and the score is null before ``least`` priors.
+    """
     before = _strictly_before(key, F.unix_micros(F.col(time).cast("timestamp")))
     parts = []
     for field, sign in fields.items():
-        n, mean, sd = (f(field).over(before) for f in (F.count, F.avg, F.stddev_samp))
-        parts.append(F.when((n >= least) & (sd > 0), sign * (F.col(field) - mean) / F.nullif(sd, F.lit(0.0))).otherwise(0.0))
+        n, mean, sd = (f(field).over(before) for f in (F.count, F.avg, F.stddev_pop if population else F.stddev_samp))
+        if population:
+            parts.append(F.when(n >= least, sign * (F.col(field) - mean) / F.when(sd > 0, sd).otherwise(1.0)))
+        else:
+            parts.append(F.when((n >= least) & (sd > 0), sign * (F.col(field) - mean) / F.nullif(sd, F.lit(0.0))).otherwise(0.0))
     return rows.withColumn(name, sum(parts[1:], parts[0]) / len(parts))
 
 
@@ -158,12 +187,92 @@ def last_valid(rows: DataFrame, *, key: str, order: str, valid: Column, value: s
 def ewm(rows: DataFrame, *, key: str, order: str, value: str, name: str, halflife: float, least: int = 1) -> DataFrame:
     """Exponentially weighted mean of the past in adjusted form (weights add up to one).
 
-    A row 60 half-lives back weighs less than the last bit of the result, so a
-    trailing frame of that length is exact.
+    The terms of a row are its own block's running sum and the whole sum of
+    the block before; a block lasts 60 half-lives, so what is left out
+    weighs less than the last bit, and within a block weights are scaled to
+    its start and cannot overflow.
     """
     decay = 0.5 ** (1.0 / halflife)
-    trail = Window.partitionBy(key).orderBy(order).rowsBetween(-int(60 * halflife), 0)
-    mean = F.aggregate(
-        F.collect_list(F.col(value).cast("double")).over(trail), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")),
-        lambda a, x: F.struct((a["s"] * decay + x).alias("s"), (a["c"] * decay + 1.0).alias("c")), lambda a: a["s"] / a["c"])
-    return rows.withColumn(name, F.when(F.count(value).over(trail) >= least, mean))
+    length = max(1, int(60 * halflife))
+    w = Window.partitionBy(key).orderBy(order)
+    placed = rows.withColumn("__n", F.row_number().over(w) - 1)
+    placed = placed.withColumn("__b", F.floor(F.col("__n") / length)).withColumn("__i", F.col("__n") % length)
+    up = F.pow(F.lit(1.0 / decay), F.col("__i").cast("double"))
+    x = F.col(value).cast("double")
+    inside = Window.partitionBy(key, "__b").orderBy("__n")
+    run = placed.withColumn("__s", F.sum(x * up).over(inside)).withColumn("__c", F.sum(F.when(x.isNotNull(), up)).over(inside))
+    near = run.withColumn("__k", F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = run.groupBy(key, F.col("__b").alias("__e")).agg(F.sum(x * up).alias("__t"), F.sum(F.when(x.isNotNull(), up)).alias("__u"))
+    met = near.join(ends.select(F.col(key).alias("__y"), (F.col("__e") + 1).alias("__z"), "__t", "__u"), F.col(key).eqNullSafe(F.col("__y")) & (F.col("__b") == F.col("__z")), "left")
+    fade = F.pow(F.lit(decay), F.lit(float(length)))
+    top = F.coalesce(F.col("__s"), F.lit(0.0)) + F.coalesce(F.col("__t"), F.lit(0.0)) * fade
+    bottom = F.coalesce(F.col("__c"), F.lit(0.0)) + F.coalesce(F.col("__u"), F.lit(0.0)) * fade
+    mean = top / F.nullif(bottom, F.lit(0.0))
+    return met.withColumn(name, F.when(F.col("__k") >= least, mean)).drop("__n", "__b", "__i", "__s", "__c", "__k", "__y", "__z", "__t", "__u")
+
+
+def lagged_demeaned(rows: DataFrame, *, key: str, order: str, value: str, name: str, lag: int, clip: float | None = None) -> DataFrame:
+    """The value ``lag`` rows back, clipped, less the mean of its date, over the sum of magnitudes of the date."""
+    late = F.lag(value, lag).over(Window.partitionBy(key).orderBy(order))
+    if clip is not None:
+        late = F.greatest(F.lit(-clip), F.least(F.lit(clip), late))
+    held = rows.withColumn("__v", late)
+    return gross_normalised(held, date=order, value="__v", name=name, demean=True).drop("__v")
+
+
+def smoothed_level(rows: DataFrame, *, key: str, order: str, value: str, name: str, long: int, short: int, weight: float = 0.75, lag: int = 0) -> DataFrame:
+    """``weight`` of the long trailing mean and the rest of the change of the short one over its own length, ``lag`` rows late."""
+    w = Window.partitionBy(key).orderBy(order)
+    level, recent = F.avg(value).over(w.rowsBetween(1 - long, 0)), F.avg(value).over(w.rowsBetween(1 - short, 0))
+    held = rows.withColumn("__l", level).withColumn("__r", recent)
+    mixed = held.withColumn("__m", weight * F.col("__l") + (1 - weight) * (F.col("__r") - F.lag("__r", short).over(w)))
+    return mixed.withColumn(name, F.lag("__m", lag).over(w) if lag else F.col("__m")).drop("__l", "__r", "__m")
+
+
+def rolling_sharpe(rows: DataFrame, *, key: str, order: str, value: str, name: str, length: int, per_year: int) -> DataFrame:
+    """Annualised mean over deviation of the trailing ``length`` rows; null before they are there or without spread."""
+    trail = Window.partitionBy(key).orderBy(order).rowsBetween(1 - length, 0)
+    n, mean, sd = F.count(value).over(trail), F.avg(value).over(trail), F.stddev_samp(value).over(trail)
+    return rows.withColumn(name, F.when(n >= length, mean / F.nullif(sd, F.lit(0.0)) * per_year**0.5))
+
+
+def blended(frames: list[tuple[float, DataFrame]], *, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Weighted sum of frames aligned on their keys; what one lacks counts nothing."""
+    parts = [df.select(*keys, (w * F.col(value)).alias("__w")) for w, df in frames]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.groupBy(*keys).agg(F.sum("__w").alias(name))
+
+
+def haircut(rows: DataFrame, *, signal: str, outlook: str, share: float, scale: float, name: str) -> DataFrame:
+    """The signal less ``share`` of it, in proportion to the outlook up to ``scale``, where the two have opposite signs."""
+    against = F.signum(signal) * F.signum(outlook) < 0
+    cut = 1 - share * F.least(F.abs(outlook) / scale, F.lit(1.0))
+    return rows.withColumn(name, F.col(signal) * F.when(against, cut).otherwise(1.0))
+
+
+def mechanical(rows: DataFrame, *, key: str, day: str, close: str, volume: str) -> DataFrame:
+    """Each row with features of the rows up to it: drawdown from the high of 253, momentum over 21, 126 and 252,
+    population deviation of 63 log returns a year, log price and log mean turnover of 63; null with fewer than 64 rows."""
+    w = Window.partitionBy(key).orderBy(day)
+    back = lambda n: w.rowsBetween(1 - n, 0)
+    base = rows.withColumn("__r", F.log(F.col(close) / F.nullif(F.lag(close).over(w), F.lit(0.0)))).withColumn("__n", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ready = F.col("__n") >= 64
+    out = base.withColumn("drawdown", F.when(ready, F.col(close) / F.max(close).over(back(253)) - 1))
+    for n in (21, 126, 252):
+        out = out.withColumn(f"mom{n}", F.when(ready, F.col(close) / F.nullif(F.lag(close, n).over(w), F.lit(0.0)) - 1))
+    return out.withColumn("vol63", F.when(ready, F.stddev_pop("__r").over(back(63)) * 252**0.5)).withColumn("log_price", F.when(ready, F.log(close))).withColumn(
+        "log_turnover", F.when(ready, F.log(F.avg(F.col(close) * F.col(volume)).over(back(63))))).drop("__r", "__n")
+
+
+def forward_path(rows: DataFrame, *, key: str, day: str, close: str, bench: str, days: int, up: float, down: float) -> DataFrame:
+    """Each row with what follows within ``days``: relative return over the benchmark at the end, lowest return on the
+    way (0 at first), and the first days on which the relative return reaches ``up`` and the plain one ``down``."""
+    number = F.unix_date(F.to_date(day))
+    ahead = Window.partitionBy(key).orderBy(number).rangeBetween(1, days)
+    path = rows.withColumn("__p", F.collect_list(F.struct(F.col(day).alias("d"), F.col(close).alias("c"), F.col(bench).alias("b"))).over(ahead))  # at most ``days`` rows
+    stock, rel = (lambda x: x["c"] / F.col(close) - 1), (lambda x: (x["c"] / F.col(close)) / (x["b"] / F.col(bench)) - 1)
+    last = F.try_element_at("__p", F.lit(-1))
+    return path.withColumn("relative", rel(last)).withColumn("lowest", F.least(F.lit(0.0), F.array_min(F.transform("__p", stock)))).withColumn(
+        "first_up", F.get(F.filter("__p", lambda x: rel(x) >= up), F.lit(0))["d"]).withColumn("first_down", F.get(F.filter("__p", lambda x: stock(x) <= down), F.lit(0))["d"]).drop("__p")

@@ -106,7 +106,8 @@ def outcome_inputs(spark, folder):
 
 
 @plans.query("backtest_record", _INPUTS + """
-    SELECT source, count(*) AS pairs, sha256(string_agg('[' || case_id || ',' || signal_id || ']', ',' ORDER BY case_id, signal_id::VARCHAR)) AS pair_hash FROM (SELECT DISTINCT source, case_id, signal_id FROM b) GROUP BY source""")
+    , q AS (SELECT DISTINCT source, sha256(case_id || chr(31) || signal_id) AS h FROM b), k AS (SELECT source, substr(h, 1, 3) AS part, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM q GROUP BY 1, 2)
+    SELECT source, sum(n)::BIGINT AS pairs, sha256(string_agg(h, ',' ORDER BY part)) AS pair_hash FROM k GROUP BY source""")
 def backtest_record(spark, folder):
     return B.pair_hash(_inputs(spark, folder), group="source", first="case_id", second="signal_id")
 
