@@ -81,27 +81,86 @@ def series_metrics(rows: DataFrame, *, key: str, value: str, per_year: int) -> D
     return found.withColumn("sharpe", _over(F.col("annual_mean"), F.col("vol"))).withColumn("sortino", _over(F.col("annual_mean"), F.col("__d"))).drop("__d")
 
 
-def block_bootstrap(rows: DataFrame, *, block: str, value: str, draws: int, seed: int) -> DataFrame:
-    """(draw, mean): means of resamples of whole blocks.
+def full_metrics(rows: DataFrame, *, key: str, day: str, value: str, bench: str, free: str, lags: int = 20) -> DataFrame:
+    """(key, n, years, total, cagr, vol, sharpe, sortino, drawdown, ir, beta, alpha, hac_t, hac_p) of daily returns.
 
-    Each block is first reduced to its sum and count; each draw then picks as
-    many blocks as there are, by a hash of seed, draw and place, so that a run
-    repeats itself and no value leaves its executor more than once.
+    Years are days over 365.25, one day at least; Sharpe is of the excess over
+    the free rate, Sortino divides by the root mean square of losses over all
+    days, beta and alpha are of excesses over the free rate, the information
+    ratio and the HAC test of the difference to the benchmark.
     """
-    sums = rows.where(F.col(value).isNotNull()).groupBy(block).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    places = sums.withColumn("at", F.row_number().over(Window.orderBy(block)) - 1)
-    total = places.count()
-    picks = sums.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)))))
-    picks = picks.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.lit(max(total, 1))).cast("int")).groupBy("draw", "at").agg(F.count(F.lit(1)).alias("times"))
-    return picks.join(places, "at").groupBy("draw").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
-
-
-def permuted_within(rows: DataFrame, *, block: str, ident: str, value: str, seed: int, name: str) -> DataFrame:
-    """Values dealt out again at random within each block, by a hash of seed and id."""
-    shuffled = F.row_number().over(Window.partitionBy(block).orderBy(F.xxhash64(F.lit(seed), ident), ident))
-    placed = rows.withColumn("__k", F.row_number().over(Window.partitionBy(block).orderBy(ident)))
-    other = rows.select(block, F.col(value).alias(name), shuffled.alias("__k"))
-    return placed.join(other, [block, "__k"]).drop("__k")
+    data = rows.where(F.col(value).isNotNull() & F.col(bench).isNotNull())
+    up = Window.partitionBy(key).orderBy(day)
+    wealth = F.exp(F.sum(F.log1p(value)).over(up))
+    peak = F.greatest(F.lit(1.0), F.max("__v").over(up))
+    series = data.withColumn("__v", wealth).withColumn("__dd", F.col("__v") / peak - 1).withColumn("__e", F.col(value) - F.coalesce(F.col(free), F.lit(0.0)))
+    series = series.withColumn("__b", F.col(bench) - F.coalesce(F.col(free), F.lit(0.0))).withColumn("__x", F.col(value) - F.col(bench))
+    loss = F.least(F.col(value), F.lit(0.0))
+    year = 252.0
+    found = series.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), (F.greatest(F.datediff(F.max(day), F.min(day)), F.lit(1)) / 365.25).alias("years"), (F.exp(F.sum(F.log1p(value))) - 1).alias("total"),
+        (F.stddev_samp(value) * year**0.5).alias("vol"), (F.avg("__e") * year).alias("__me"), (F.stddev_samp("__e") * year**0.5).alias("__se"), (F.sqrt(F.avg(loss * loss)) * year**0.5).alias("__d"),
+        F.min("__dd").alias("drawdown"), (F.avg("__x") * year).alias("__mx"), (F.stddev_samp("__x") * year**0.5).alias("__sx"), F.covar_samp("__e", "__b").alias("__c"), F.var_samp("__b").alias("__vb"), (F.avg("__b") * year).alias("__mb"))
+    tested = hac_mean(series, key=key, order=day, value="__x", lags=lags).select(F.col(key).alias("__k"), F.col("t").alias("hac_t"))
+    out = found.join(tested, F.col(key) == F.col("__k"), "left").withColumn("beta", _over(F.col("__c"), F.col("__vb")))
+    return out.select(
+        key, "n", "years", "total", (F.pow(1 + F.col("total"), 1 / F.col("years")) - 1).alias("cagr"), "vol", _over(F.col("__me"), F.col("__se")).alias("sharpe"), _over(F.col("__me"), F.col("__d")).alias("sortino"),
+        "drawdown", _over(F.col("__mx"), F.col("__sx")).alias("ir"), "beta", (F.col("__me") - F.col("beta") * F.col("__mb")).alias("alpha"), "hac_t", two_sided(F.col("hac_t")).alias("hac_p"))
+
+
+def two_sided(t: Column) -> Column:
+    """Two-sided normal p value by the rational approximation of erfc (absolute error below 1.2e-7)."""
+    z = F.abs(t) / 2.0**0.5
+    u = 1 / (1 + 0.5 * z)
+    # Coefficients of the Chebyshev fit of erfc, from the highest power down.
+    terms = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+    poly = F.lit(terms[0])
+    for c in terms[1:]:
+        poly = poly * u + c
+    return u * F.exp(-z * z + poly)
+
+
+def ordinal_spearman(rows: DataFrame, *, group: str, x: str, y: str, ident: str) -> DataFrame:
+    """(group, n, rho): rank correlation where ties keep the order of ``ident``; 0 under three rows."""
+    data = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    place = lambda c: F.row_number().over(Window.partitionBy(group).orderBy(c, ident)).cast("double")
+    ranked = data.select(group, place(x).alias("rx"), place(y).alias("ry"))
+    return ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) < 3, 0.0).otherwise(correlation(F.col("rx"), F.col("ry"))).alias("rho"))
+
+
+def basket(value: str, win: float = 0.0) -> list[Column]:
+    """n, mean, median, share above nought and share at or above ``win``, as aggregates."""
+    x = F.col(value)
+    share = lambda test: F.avg(F.when(x.isNotNull(), test.cast("double")))
+    return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), share(x > 0).alias("positive"), share(x >= win).alias("success")]
+
+
+def top_quantile(rows: DataFrame, *, group: str, score: str, q: float) -> DataFrame:
+    """Rows at or above their group's exact quantile of the score."""
+    cut = rows.groupBy(F.col(group).alias("__g")).agg(F.percentile(score, q).alias("__c"))
+    return rows.join(cut, F.col(group) == F.col("__g")).where(F.col(score) >= F.col("__c")).drop("__g", "__c")
+
+
+def correlation_test(rows: DataFrame, *, value: str, group: str | None = None) -> DataFrame:
+    """(group, n, mean, t) of period correlations: mean over its standard error; null for one period."""
+    n, mean, sd = F.count(value), F.avg(value), F.stddev_samp(value)
+    grouped = rows.groupBy(group) if group else rows.groupBy()
+    return grouped.agg(n.alias("n"), mean.alias("mean"), (mean / F.nullif(sd / F.sqrt(n), F.lit(0.0))).alias("t"))
+
+
+def exact_mean(rows: DataFrame, *, key: str, value: str, replicates: int) -> DataFrame:
+    """(key, mean): means of exactly ``replicates`` numeric values a key; raises for any other number when the rows are read."""
+    found = rows.groupBy(key).agg(F.count(value).alias("__n"), F.avg(value).alias("mean"))
+    right = F.when(F.col("__n") == replicates, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("wrong number of replicates of "), F.col(key).cast("string"))).cast("boolean"))
+    return found.where(right).select(key, "mean")
+
+
+def fit_quality(rows: DataFrame, *, group: str, predicted: str, actual: str) -> DataFrame:
+    """(group, n, r2, rmse, direction): share of variance explained, root mean square error, share of equal signs."""
+    data = rows.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
+    error = F.col(actual) - F.col(predicted)
+    found = data.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(error * error).alias("__m"), F.var_pop(actual).alias("__v"), F.avg((F.signum(predicted) == F.signum(actual)).cast("double")).alias("direction"))
+    return found.select(group, "n", (1 - _over(F.col("__m"), F.col("__v"))).alias("r2"), F.sqrt("__m").alias("rmse"), "direction")
 
 
 def walk_forward_line(rows: DataFrame, *, period: str, x: str, y: str, least: int = 30) -> DataFrame:

@@ -1,8 +1,8 @@
 """Registered queries of the core, by module."""
 
-from tidewell.plans import clocks, grouping, joining, known_at, markets, statistics, store, texts, windowing
+from tidewell.plans import clocks, grouping, joining, known_at, markets, resampling, statistics, store, texts, windowing
 
-MODULES = (known_at, store, clocks, joining, markets, windowing, grouping, statistics, texts)
+MODULES = (known_at, store, clocks, joining, markets, windowing, grouping, statistics, resampling, texts)
 
 
 def queries():

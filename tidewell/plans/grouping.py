@@ -139,7 +139,11 @@ def cooldown_180(spark, folder):
     return rows.select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderkey")
 
 
-@plans.query("slots_taken")
+@plans.query("slots_taken", """
+    WITH RECURSIVE o AS (SELECT o_orderpriority AS k, o_orderkey AS i, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS d, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate::DATE, o_orderkey) AS n FROM orders),
+    s AS (SELECT k, i, n, [d + 90] AS ends, true AS taken FROM o WHERE n = 1 UNION ALL
+      SELECT k, i, n, CASE WHEN len(live) < 20 THEN list_append(live, d + 90) ELSE live END, len(live) < 20 FROM (SELECT o.k, o.i, o.n, o.d, list_filter(s.ends, lambda e: e > o.d) AS live FROM s JOIN o ON o.k = s.k AND o.n = s.n + 1))
+    SELECT k AS o_orderpriority, i AS o_orderkey, taken FROM s""")
 def slots_taken(spark, folder):
     return I.slots(load(spark, folder, "orders"), lane="o_orderpriority", day="o_orderdate", ident="o_orderkey", hold_days=90, capacity=20)
 
@@ -168,7 +172,12 @@ def capped_share(spark, folder):
     return rows.select("o_orderkey")
 
 
-@plans.query("greedy_cap")
+@plans.query("greedy_cap", """
+    WITH RECURSIVE o AS (SELECT o_orderpriority AS k, o_orderkey AS i, o_orderstatus AS g, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+    s AS (SELECT k, 0::BIGINT AS i, 0::BIGINT AS n, 0 AS f, 0 AS q, 0 AS p, true AS kept FROM o WHERE n = 1 UNION ALL
+      SELECT k, i, n, f + (kept AND g = 'F')::INTEGER, q + (kept AND g = 'O')::INTEGER, p + (kept AND g = 'P')::INTEGER, kept FROM (SELECT o.k, o.i, o.n, o.g, s.f, s.q, s.p,
+        coalesce((CASE o.g WHEN 'F' THEN s.f WHEN 'O' THEN s.q WHEN 'P' THEN s.p END + 1) / (s.f + s.q + s.p + 1)::DOUBLE <= 0.4::DOUBLE, true) AS kept FROM s JOIN o ON o.k = s.k AND o.n = s.n + 1))
+    SELECT k AS o_orderpriority, i AS o_orderkey, kept FROM s WHERE n > 0""")
 def greedy_cap(spark, folder):
     return K.greedy_cap(load(spark, folder, "orders"), lane="o_orderpriority", order="o_orderdate", ident="o_orderkey", group="o_orderstatus", cap=0.4)
 
@@ -207,6 +216,43 @@ def account_simulation(spark, folder):
     return P.simulated(days.withColumn("s", F.col("n") >= 60), lane="asset", day="d", ret="r", signal="s", slots=5, hold=5, cost=0.0025)
 
 
+def _account(spark, folder):
+    signals = load(spark, folder, "p_plus20_current").where("entry_date is not null and exit_date is not null and entry_price > 0 and exit_price > 0")
+    signals = signals.groupBy("source", "signal_id").agg(*[F.min(c).alias(c) for c in ("ticker", "entry_date", "entry_price", "exit_date", "exit_price")])
+    both = [signals.select("ticker", F.col(f"{k}_date").alias("day"), F.col(f"{k}_price").alias("close")) for k in ("entry", "exit")]
+    closes = both[0].unionByName(both[1]).groupBy("ticker", "day").agg(F.avg("close").alias("close"))
+    days = closes.select("day").distinct()
+    calendar = signals.select("source").distinct().join(days).select("source", "day", (F.sin(F.unix_date("day").cast("double")) / 200).alias("bench"), F.when(F.dayofweek("day") == 2, 2.0 + F.month("day") / 10).alias("bill"))  # a few lanes by one series of days
+    trades = signals.select("source", F.col("signal_id").alias("trade_id"), "ticker", F.col("entry_date").alias("entry_day"), "entry_price", F.col("exit_date").alias("exit_day"))
+    return P.account(calendar, trades, closes, lane="source", ticker="ticker", slots=10, cost_bps=25.0)
+
+
+@plans.query("account_days")
+def account_days(spark, folder):
+    """An account for each source with ten places, marked where prices are known; a fold, tested against a plain walk."""
+    return _account(spark, folder)[0].select("source", F.date_format("day", "yyyy-MM-dd").alias("day"), *[F.round(c, 8).alias(c) for c in ("nav", "ret", "matched", "excess")], "open")
+
+
+@plans.query("account_ledger")
+def account_ledger(spark, folder):
+    """The trades of those accounts: taken or not, and what they brought."""
+    return _account(spark, folder)[1].withColumn("net", F.round("net", 8))
+
+
+@plans.query("cohort_returns", """
+    WITH p AS (SELECT o_orderpriority AS ticker, o_orderdate::DATE AS d, avg(o_totalprice) / 1000 AS c FROM orders GROUP BY 1, 2), r AS (SELECT ticker, d, tanh(c / 100 - 1.5::DOUBLE) * 0.99 AS r, row_number() OVER (PARTITION BY ticker ORDER BY d) AS n, count(*) OVER (PARTITION BY ticker) AS m FROM p),
+    s AS (SELECT o_orderstatus AS lane, o_orderpriority AS ticker, o_orderdate::DATE AS e FROM orders WHERE o_orderkey % 5 = 0), f AS (SELECT lane, s.ticker, e, (SELECT min(n) FROM r WHERE r.ticker = s.ticker AND r.d >= e) AS n, (SELECT max(n) FROM r WHERE r.ticker = s.ticker) AS m FROM s)
+    SELECT lane, strftime(r.d, '%Y-%m-%d') AS day, count(*) AS n, round(avg(greatest(-0.95::DOUBLE, r.r - 0.02::DOUBLE / 252)) + 0.3::DOUBLE * 0.001::DOUBLE, 6) AS ret FROM f JOIN r ON r.ticker = f.ticker AND r.n > f.n AND r.n <= f.n + 20 WHERE f.n + 20 <= f.m GROUP BY lane, r.d""")
+def cohort_returns(spark, folder):
+    """Overlapping positions of 20 rows by order status, borrowed and hedged; the sample of orders is the signal."""
+    orders = load(spark, folder, "orders")
+    closes = orders.groupBy(F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("day")).agg((F.avg("o_totalprice") / 1000).alias("c"))
+    returns = closes.select("ticker", "day", (F.tanh(F.col("c") / 100 - 1.5) * 0.99).alias("ret"), F.lit(0.001).alias("bench"))
+    signals = orders.where("o_orderkey % 5 = 0").select(F.col("o_orderstatus").alias("lane"), F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("entry_day"))
+    found = P.cohorts(signals, returns, lane="lane", horizon=20, borrow=0.02, hedge=0.3)
+    return found.select("lane", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.round("ret", 6).alias("ret"))
+
+
 @plans.query("net_returns", """
     WITH p AS (SELECT event_type AS asset, ts::DATE AS d, sum(value) / 1000 AS v FROM events GROUP BY 1, 2),
     w AS (SELECT asset, d, v / sum(v) OVER (PARTITION BY d) AS w, v / nullif(lag(v) OVER (PARTITION BY asset ORDER BY d), 0) - 1 AS r FROM p),

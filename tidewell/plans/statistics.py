@@ -90,18 +90,6 @@ def series_metrics(spark, folder):
     return rows.select("event_type", "n", F.round("annual_mean", 3).alias("annual_mean"), F.round("vol", 3).alias("vol"), *[F.round(c, 6).alias(c) for c in ("sharpe", "sortino", "hit")])
 
 
-@plans.query("block_bootstrap")
-def block_bootstrap(spark, folder):
-    rows = load(spark, folder, "events").withColumn("d", F.to_date("ts"))
-    return S.block_bootstrap(rows, block="d", value="value", draws=200, seed=11)
-
-
-@plans.query("permuted_within")
-def permuted_within(spark, folder):
-    rows = load(spark, folder, "events").select("event_id", "event_type", "value")
-    return S.permuted_within(rows, block="event_type", ident="event_id", value="value", seed=5, name="dealt").select("event_id", "value", "dealt")
-
-
 @plans.query("walk_forward_line", """
     WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y') AS year, (o_custkey)::DOUBLE AS x, o_totalprice / 1000 AS y FROM orders),
     s AS (SELECT year, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM o GROUP BY year),
