@@ -94,3 +94,67 @@ def embedded_json(text: Column, schema: str) -> Column:
 def cued(text: Column, word: str, cue: str, reach: int) -> Column:
     """A word stands within ``reach`` characters of a cue, on either side."""
     return F.lower(text).rlike(rf"(?s)(?:{cue}).{{0,{reach}}}\b{word}\b|\b{word}\b.{{0,{reach}}}(?:{cue})")
+
+
+def merged_windows(text: Column, pattern: str, before: int, after: int, gap: int, budget: int) -> Column:
+    """Stretches around all places of a pattern, merged where at most ``gap`` characters part them, in order, cut at ``budget``.
+
+    Empty without a place.  Places are counted on the whole text.
+    """
+    parts = F.split(F.lower(text), pattern)
+    # Each part ends where a place begins; what lies between is told by the lengths of parts and places.
+    hits = F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), 1)
+    step = F.transform(F.arrays_zip(F.slice(parts, 1, F.size(hits)).alias("p"), hits.alias("h")), lambda x: F.struct(F.length(x["p"]).alias("p"), F.length(x["h"]).alias("h")))
+    empty = F.array().cast("array<struct<a:int,b:int>>")
+    start = F.struct(F.lit(0).alias("at"), empty.alias("runs"))
+
+    def add(state: Column, x: Column) -> Column:
+        place = state["at"] + x["p"]
+        a, b = F.greatest(place - before, F.lit(0)), F.least(place + after, F.length(text))
+        last = F.try_element_at(state["runs"], F.lit(-1))
+        joined = F.concat(F.slice(state["runs"], 1, F.greatest(F.size(state["runs"]) - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], b).alias("b"))))
+        fresh = F.concat(state["runs"], F.array(F.struct(a.alias("a"), b.alias("b"))))
+        return F.struct((place + x["h"]).alias("at"), F.when(a - last["b"] <= gap, joined).otherwise(fresh).alias("runs"))
+
+    runs = F.aggregate(step, start, add)["runs"]
+    pieces = F.transform(runs, lambda r: F.substring(text, r["a"] + 1, r["b"] - r["a"]))
+    return F.when(F.size(hits) > 0, F.substring(F.array_join(pieces, "\n...\n"), 1, budget)).otherwise("")
+
+
+def redacted(text: Column, names: Column, mask: str = "[ISSUER]", digits: str = "[ISSUER_ID]") -> Column:
+    """The text without the row's own names, the longest first.
+
+    A name of digits is masked as an identifier; one of at most six letters
+    only as a whole word; another also by its first word if that has seven
+    letters or more.  Letters match in either case.
+    """
+    ordered = F.array_sort(F.filter(names, lambda n: F.length(F.trim(n)) > 1), lambda a, b: F.length(b) - F.length(a))
+    quoted = lambda n: F.concat(F.lit("\\Q"), F.replace(F.trim(n), F.lit("\\E"), F.lit("")), F.lit("\\E"))
+
+    def step(out: Column, name: Column) -> Column:
+        core = F.split(F.trim(name), "[^A-Za-z0-9]+")[0]
+        short = F.length(F.trim(name)) <= 6
+        bound = F.concat(F.lit("(?i)\\b"), quoted(name), F.lit("\\b"))
+        loose = F.concat(F.lit("(?i)"), quoted(name), F.when(F.length(core) >= 7, F.concat(F.lit("|\\b"), quoted(core), F.lit("\\b"))).otherwise(""))
+        return F.when(F.trim(name).rlike("^[0-9]+$"), F.regexp_replace(out, bound, F.lit(digits))).otherwise(F.regexp_replace(out, F.when(short, bound).otherwise(loose), F.lit(mask)))
+
+    return F.aggregate(ordered, text, step)
+
+
+def capital_phrases(text: Column) -> Column:
+    """Runs of two to five capitalised words."""
+    return F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){1,4})\b"), 1)
+
+
+def surviving(text: Column, name: Column, ticker: Column) -> Column:
+    """How often the first word of a name (seven letters or more) or the ticker as a whole word stands in a text."""
+    core = F.lower(F.split(F.trim(name), "[^A-Za-z0-9]+")[0])
+    long = F.when(F.length(core) >= 7, (F.length(text) - F.length(F.replace(F.lower(text), core, F.lit("")))) / F.length(core)).otherwise(0)
+    code = F.when(F.length(F.trim(ticker)) > 1, F.size(F.split(text, F.concat(F.lit("\\b\\Q"), F.trim(ticker), F.lit("\\E\\b")), -1)) - 1).otherwise(0)
+    return (F.coalesce(long, F.lit(0)) + F.coalesce(code, F.lit(0))).cast("int")
+
+
+def firm_of_title(title: Column) -> Column:
+    """What stands before the verb of a notice title, without a town after it."""
+    head = F.split(title, r"(?i)\b(?:recalls?|announces?|issues?|expands?)\b", 2)[0]
+    return F.trim(F.regexp_replace(head, r",\s+of\s+.*$", ""))

@@ -96,3 +96,33 @@ def chronological_split(rows: DataFrame, *, group: str, order: list, share: floa
     w = Window.partitionBy(group)
     place, n = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
     return rows.withColumn(name, F.when(place <= F.floor(n * share), "train").otherwise("test"))
+
+
+def hash_sample(rows: DataFrame, *, ident: str, modulus: int) -> DataFrame:
+    """Rows whose MD5, read as one number, is divisible by ``modulus``; the remainder is taken digit by digit."""
+    digits = F.transform(F.split(F.md5(F.col(ident).cast("string").cast("binary")), ""), lambda c: F.conv(c, 16, 10).cast("long"))
+    remainder = F.aggregate(F.filter(digits, lambda d: d.isNotNull()), F.lit(0).cast("long"), lambda a, d: (a * 16 + d) % modulus)
+    return rows.where(remainder == 0)
+
+
+def round_robin(rows: DataFrame, *, stratum: str, ident: str, k: int, seed: int) -> DataFrame:
+    """``k`` rows, one of each stratum in turn, in the order of a hash of seed and id.
+
+    No stratum gives more than ``k``, so each is cut to that before the turns are dealt.
+    """
+    key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")), 256)
+    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(key, ident))
+    return rows.withColumn("__k", turn).where(F.col("__k") <= k).orderBy("__k", F.asc_nulls_last(stratum)).limit(k).drop("__k")
+
+
+def sweep(rows: DataFrame, *, score: str, ident: str, value: str, sizes: list[int]) -> DataFrame:
+    """(size, mean, tied, left_out): mean of the ``size`` highest rows, the ties at the edge, and how many of those fall outside.
+
+    Only the largest basket is ranked; ties are counted on all rows.
+    """
+    head = rows.orderBy(F.desc(score), ident).limit(max(sizes)).select(F.row_number().over(Window.orderBy(F.desc(score), ident)).alias("__k"), F.col(score).alias("__s"), F.col(value).alias("__v"))
+    named = head.join(F.broadcast(head.sparkSession.createDataFrame([(n,) for n in sizes], "size int")), F.col("__k") <= F.col("size"))  # a few sizes
+    baskets = named.groupBy("size").agg(F.avg("__v").alias("mean"), F.min("__s").alias("__e"))
+    inside = named.join(baskets.select("size", "__e"), "size").groupBy("size").agg(F.count_if(F.col("__s") == F.col("__e")).alias("__in"))
+    ties = rows.join(F.broadcast(baskets), F.col(score) == F.col("__e")).groupBy("size").agg(F.max("mean").alias("mean"), F.count(F.lit(1)).alias("tied"))
+    return ties.join(inside, "size").select("size", "mean", "tied", (F.col("tied") - F.col("__in")).alias("left_out"))

@@ -59,3 +59,60 @@ def transactions(table: DataFrame, column: str, code: str = "P") -> DataFrame:
 def number(text: Column) -> Column:
     """A number written with thousands separators; null where it is none."""
     return F.replace(F.trim(text), F.lit(","), F.lit("")).try_cast("double")
+
+
+def coerced(text: Column) -> Column:
+    """A number written with thousands separators, blanks or a percent sign; null for anything else."""
+    return F.regexp_replace(F.trim(text), "[, %]", "").try_cast("double")
+
+
+def zipped_tables(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> DataFrame:
+    """Rows of the delimited members of zip files, each archive read by one task as bytes and cut by line.
+
+    The header names the columns; columns that the schema lacks are left out,
+    missing ones and values that do not fit are null.
+    """
+    import csv
+    import io
+    import zipfile
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    fields = [f.name for f in spark.createDataFrame([], schema).schema.fields]
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for member in archive.namelist():
+                        with archive.open(member) as raw:
+                            reader = csv.DictReader(io.TextIOWrapper(raw, "utf-8", errors="replace"), delimiter=sep)
+                            rows: list[tuple] = []
+                            for row in reader:
+                                rows.append(tuple(row.get(c) for c in fields))
+                                if len(rows) == 20_000:
+                                    yield pd.DataFrame(rows, columns=fields)
+                                    rows = []
+                            yield pd.DataFrame(rows, columns=fields)
+
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    text = raw.mapInPandas(read, ", ".join(f"{c} string" for c in fields))
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema.fields}
+    return text.select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in fields])
+
+
+def html_tables(table: DataFrame, column: str) -> DataFrame:
+    """(all other columns, table, row, cells): rows of the tables of a page, cells without markup."""
+    tag = lambda name: F.lit(rf"(?is)<{name}\b[^>]*>(.*?)</{name}>")
+    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "&nbsp;|&#160;", " "), r"\s+", " "))
+    keep = [c for c in table.columns if c != column]
+    tables = table.select(*keep, F.posexplode(F.regexp_extract_all(column, tag("table"), 1)).alias("table", "__t"))
+    rows = tables.select(*keep, "table", F.posexplode(F.regexp_extract_all("__t", tag("tr"), 1)).alias("row", "__r"))
+    cells = F.transform(F.regexp_extract_all("__r", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), 1), clean)
+    return rows.select(*keep, "table", "row", cells.alias("cells"))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of files, hashed where they are read."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
