@@ -212,3 +212,13 @@ def test_versions_are_read_under_three_clocks(spark):
     rows = spark.createDataFrame([row("v1", 1, 10, 2, 3), row("v2", 1, 8, 2, 6), row("v2", 1, 8, 2, 6)], "f string, v string, a int, b int, k int, r int")
     read = lambda valid, known, system: [x["v"] for x in B.three_clocks(rows, fact=["f"], starts="a", ends="b", available="k", recorded="r", valid_at=F.lit(valid), known_at=F.lit(known), system_at=F.lit(system)).collect()]
     assert read(5, 5, 5) == ["v1"] and read(5, 5, 6) == ["v2"] and read(9, 5, 5) == ["v1"] and read(9, 9, 6) == [] and read(10, 9, 5) == [] and read(5, 1, 5) == [] and read(5, 5, 2) == []
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_hot_key_is_cut_into_slices(spark, direction, exact):
+    rng = random.Random(6)
+    left = spark.createDataFrame([(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(400), i) for i in range(500)], "key string, t int, i int")
+    right = spark.createDataFrame([(rng.choice(["hot", "hot", "b", None]), rng.randrange(400), float(i)) for i in range(120)], "key string, u int, v double")
+    run = lambda n: {r["i"]: (r["matched_u"], r["matched_v"]) for r in joins.asof(left, right, key="key", left_time="t", right_time="u", values=["v"], direction=direction, exact=exact, slice_rows=n).collect()}
+    assert run(1_000_000) == run(40)

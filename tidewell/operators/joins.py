@@ -6,26 +6,50 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+
+from tidewell.operators.bounded import hot_slices
+
+
+def _number(rows: DataFrame, column: str) -> Column:
+    """A time, date or number as a number that rises with it."""
+    kind = rows.schema[column].dataType
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.unix_date(column) if isinstance(kind, DateType) else F.col(column)
 
 
 def asof(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_time: str, values: Sequence[str],
-         direction: str = "backward", exact: bool = True) -> DataFrame:
+         direction: str = "backward", exact: bool = True, slice_rows: int = 1_000_000) -> DataFrame:
     """``left`` with the nearest earlier (or later) row of ``right`` per key.
 
     Both sides are united and sorted once; the last known row is carried
     along.  ``exact`` lets equal times match.  Rows of ``left`` without match
     keep nulls, so do those with a null key; of several right rows at one time the greatest values count.
+
+    A key with more than ``slice_rows`` rows is cut into slices of time, whose
+    last rows are carried into the later ones: no key fills a task.  Keys are
+    counted when the operator is called.
     """
-    back = direction == "backward"
     kept = F.struct(F.col(right_time).alias("__at"), *values)
     turn = 0 if exact else 2
-    marked = right.select(F.col(key), F.col(right_time).alias("__t"), F.lit(turn).alias("__turn"), kept.alias("__r"), F.lit(None).alias("__l"))
-    probe = left.select(F.col(key), F.col(left_time).alias("__t"), F.lit(1).alias("__turn"), F.lit(None).alias("__r"), F.struct(*left.columns).alias("__l"))
-    both = marked.where(F.col(right_time).isNotNull() & F.col(key).isNotNull()).unionByName(probe)
-    time = F.col("__t") if back else F.col("__t").desc()
-    order = Window.partitionBy(key).orderBy(time, "__turn", F.col("__r"))
-    found = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("__f", found).where("__turn = 1").select("__l.*", F.col("__f.__at").alias(f"matched_{right_time}"), *[F.col(f"__f.{v}").alias(f"matched_{v}") for v in values])
+    sign = 1 if direction == "backward" else -1
+    marked = right.select(F.col(key), (sign * _number(right, right_time)).alias("__t"), F.lit(turn).alias("__turn"), kept.alias("__r"), F.lit(None).alias("__l"))
+    probe = left.select(F.col(key), (sign * _number(left, left_time)).alias("__t"), F.lit(1).alias("__turn"), F.lit(None).alias("__r"), F.struct(*left.columns).alias("__l"))
+    both = marked.where(F.col("__t").isNotNull() & F.col(key).isNotNull()).unionByName(probe)
+    cuts = hot_slices(both.select(key, "__t"), key, "__t", slice_rows)
+    slices = [] if cuts is None else ["__slice"]
+    if cuts is not None:
+        place = F.when(F.col("bounds").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda b: F.col("__t") > b)))
+        both = both.join(F.broadcast(cuts), key, "left").withColumn("__slice", place)  # at most about 40,000 cut points
+    order = Window.partitionBy(key, *slices).orderBy("__t", "__turn", F.col("__r"))
+    found = both.withColumn("__f", F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if cuts is not None:
+        ends = both.where("bounds is not null").groupBy(key, "__slice").agg(F.max(F.when(F.col("__r").isNotNull(), F.struct("__t", "__turn", "__r"))).alias("__m"))
+        before = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(key, "__slice", F.last("__m", ignorenulls=True).over(before).alias("__c"))
+        found = found.join(F.broadcast(carried), [key, "__slice"], "left").withColumn("__f", F.coalesce("__f", "__c.__r"))
+    return found.where("__turn = 1").select("__l.*", F.col("__f.__at").alias(f"matched_{right_time}"), *[F.col(f"__f.{v}").alias(f"matched_{v}") for v in values])
 
 
 def nth_forward(left: DataFrame, calendar: DataFrame, *, key: str, day: str, same_day: Column, calendar_day: str, values: Sequence[str], delay: int = 0) -> DataFrame:
