@@ -1,8 +1,8 @@
 """Registered queries of the core, by module."""
 
-from tidewell.plans import clocks, filing, grouping, joining, known_at, markets, resampling, resolving, statistics, store, texts, windowing
+from tidewell.plans import clocks, filing, grouping, joining, known_at, markets, panelling, resampling, resolving, statistics, store, texts, windowing
 
-MODULES = (known_at, store, clocks, joining, markets, windowing, grouping, statistics, resampling, resolving, filing, texts)
+MODULES = (known_at, store, clocks, joining, markets, windowing, grouping, statistics, resampling, resolving, panelling, filing, texts)
 
 
 def queries():
