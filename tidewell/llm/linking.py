@@ -72,8 +72,10 @@ def readings(text: str, known: frozenset[str] | None = None) -> tuple[list[Name]
     ``known`` are words of it that registered names have as their own; without
     them a name of listed words alone is also read as if they were its own.
     """
-    beside = next((c for c in (plain(b).strip().lower() for b in _BRACKET.findall(text)) if c.isalnum() and 1 < len(c) < 7), "")
-    bare = _BRACKET.sub(lambda m: f" {m.group(1)} " if m.group(1).strip().lower() in PLACES else " ", text)
+    beside, bare = "", text
+    if "(" in text or "[" in text:
+        beside = next((c for c in (plain(b).strip().lower() for b in _BRACKET.findall(text)) if c.isalnum() and 1 < len(c) < 7), "")
+        bare = _BRACKET.sub(lambda m: f" {m.group(1)} " if m.group(1).strip().lower() in PLACES else " ", text)
     every = split_words(bare)
     words = [w for w in every if w not in HEDGES]
     if " ".join(words) in NOTHING:

@@ -49,7 +49,7 @@ _BRACKET = re.compile(r"[(\[]([^)\]]*)[)\]]")
 
 def plain(text: str) -> str:
     """ASCII letters of a text: accents dropped, invisible characters removed."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if c.isascii())
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if c.isascii())
 
 
 def split_words(text: str) -> list[str]:
@@ -130,43 +130,68 @@ def letter_set(word: str) -> int:
     return sum(1 << (ord(c) - (48 if c <= "9" else 87)) for c in set(word))
 
 
-def _may_be_near(a: str, b: str) -> bool:
-    """False where missing letters alone keep the subsequence ratio at 0.7 or less."""
-    x, y = letter_set(a), letter_set(b)
-    most = min(len(a) - (x & ~y).bit_count(), len(b) - (y & ~x).bit_count())
-    return 20 * most > 7 * (len(a) + len(b))
-
-
 def _within(short: str, word: str) -> bool:
     it = iter(word)
     return all(c in it for c in short)
 
 
+class _Listed:
+    """Listed words of one kind, found by what a typed word shows of them."""
+
+    def __init__(self, options: Iterable[str], short: dict[str, str]) -> None:
+        self.options, self.short = tuple(options), short
+        self.places = {o: i for i, o in enumerate(self.options)}
+        self.heads: dict[str, int] = {}
+        for i, o in enumerate(self.options):
+            for n in range(3, len(o) + 1):
+                self.heads.setdefault(o[:n], i)
+        self.by_length = sorted(self.options, key=len)
+        # Options of nearly the same length, with the sets of their letters.
+        self.near: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        for o in self.options:
+            if len(o) > 4:
+                for n in range(len(o) - 2, len(o) + 3):
+                    self.near[n].append((o, letter_set(o)))
+
+    def begun(self, word: str) -> str | None:
+        """The first option that the word, or the word without a last s, begins."""
+        found = [self.heads.get(word, -1)] if len(word) >= 3 else []
+        if len(word) >= 4 and word[-1] == "s":
+            found.append(self.heads.get(word[:-1], -1))
+        places = [i for i in found if i >= 0]
+        return self.options[min(places)] if places else None
+
+    def skeleton(self, word: str) -> str | None:
+        """The shortest option whose letters the word takes in order, without vowels after the second."""
+        if len(word) < 3 or not _VOWELS.isdisjoint(word[2:]):
+            return None
+        return next((o for o in self.by_length if len(word) <= len(o) - 2 and word[0] == o[0] and _within(word, o)), None)
+
+    def mistyped(self, word: str) -> str | None:
+        """The option that lies nearest by the weighted distance, within the bound for the length."""
+        mine, n, best = letter_set(word), len(word), (9.0, "")
+        for o, theirs in self.near.get(n, ()):
+            # No common subsequence has a letter that one of the words lacks.
+            most = min(n - (mine & ~theirs).bit_count(), len(o) - (theirs & ~mine).bit_count())
+            if 20 * most > 7 * (n + len(o)) and lcs_ratio(word, o) > 0.7:
+                best = min(best, (damerau(word, o), o))
+        return best[1] if n > 3 and best[0] <= (1.0 if n < 8 else 2.0) else None
+
+
+_VOWELS = frozenset("aeiou")
+_LISTED = {"sector": _Listed(SECTORS, SECTOR_SHORT), "relation": _Listed(RELATIONS, RELATION_SHORT), "legal": _Listed(_LEGAL_OF, {})}
+
+
 @lru_cache(50_000)
 def _known(word: str, kind: str) -> str | None:
     """The listed word that ``word`` is, or is short or mistyped for."""
-    if kind == "sector":
-        options, short = SECTORS, SECTOR_SHORT
-    elif kind == "relation":
-        options, short = RELATIONS, RELATION_SHORT
-    else:
-        options, short = tuple(_LEGAL_OF), {}
-    if word in options:
+    listed = _LISTED[kind]
+    if word in listed.places:
         return word
-    if word in short:
-        return short[word]
-    if kind != "legal":
-        for option in options:
-            if len(word) >= 3 and option.startswith(word):
-                return option
-            if len(word) >= 4 and word[-1] == "s" and option.startswith(word[:-1]):
-                return option
-        for option in sorted(options, key=len):
-            if 3 <= len(word) <= len(option) - 2 and word[0] == option[0] and _within(word, option) and not set("aeiou") & set(word[2:]):
-                return option
-    near = [o for o in options if len(o) > 4 and abs(len(o) - len(word)) <= 2 and _may_be_near(word, o) and lcs_ratio(word, o) > 0.7]
-    best = min(((damerau(word, option), option) for option in near), default=(9.0, None))
-    return best[1] if best[0] <= (1.0 if len(word) < 8 else 2.0) and len(word) > 3 else None
+    if word in listed.short:
+        return listed.short[word]
+    found = None if kind == "legal" else listed.begun(word) or listed.skeleton(word)
+    return found or listed.mistyped(word)
 
 
 @lru_cache(50_000)
@@ -251,7 +276,7 @@ def unglued(words: list[str], stems: frozenset[str] | set[str]) -> list[str]:
     def cut(word: str, depth: int) -> list[str]:
         if word in stems or len(word) < 7 or depth > 5:
             return [word]
-        middle = next((m.start() for m in re.finditer("and", word) if word[:m.start()] in stems and word[m.end():] in stems), None)
+        middle = next((m.start() for m in re.finditer("and", word) if word[:m.start()] in stems and word[m.end():] in stems), None) if stems else None
         if middle is not None:
             return [word[:middle], "and", word[middle + 3:]]
         for parts, sizes in _SIZES if depth < 3 else _SIZES[:1]:
