@@ -222,3 +222,14 @@ def test_a_hot_key_is_cut_into_slices(spark, direction, exact):
     right = spark.createDataFrame([(rng.choice(["hot", "hot", "b", None]), rng.randrange(400), float(i)) for i in range(120)], "key string, u int, v double")
     run = lambda n: {r["i"]: (r["matched_u"], r["matched_v"]) for r in joins.asof(left, right, key="key", left_time="t", right_time="u", values=["v"], direction=direction, exact=exact, slice_rows=n).collect()}
     assert run(1_000_000) == run(40)
+
+
+@pytest.mark.parametrize("fraction", [0.1, 0.5, 0.97])
+def test_thresholds_of_a_hot_key_do_not_depend_on_slices(spark, fraction):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "b"]), D0 + timedelta(days=rng.randrange(300)), i, rng.choice([rng.gauss(i / 300, 1), float(rng.randrange(3)), 1.0, float("nan")])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, t date, i long, s double")
+    run = lambda n: {r["i"]: (r["threshold"], r["prior_count"], r["selected"]) for r in windows.causal_threshold(df, key="k", time="t", ident="i", score="s", fraction=fraction, warmup=20, slice_rows=n).collect()}
+    want = run(200_000)
+    for n in (400, 90):
+        assert run(n) == {i: (pytest.approx(a) if a is not None else None, b, c) for i, (a, b, c) in want.items()}

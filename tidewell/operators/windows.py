@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.bounded import hot_slices
+
 
 def _strictly_before(key: str, micros: Column):
     return Window.partitionBy(key).orderBy(micros).rangeBetween(Window.unboundedPreceding, -1)
@@ -42,22 +47,76 @@ class RunningQuantile:
         return low if not part else low + (self.high[0] - low) * part
 
 
-def causal_threshold(rows: DataFrame, *, key: str, time: str, ident: str, score: str, fraction: float = 0.1, warmup: int = 50) -> DataFrame:
+_THRESHOLDS = "i long, threshold double, prior_count long, selected boolean"
+
+
+def _threshold_rows(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out)) or [()] * 4
+    types = (pa.int64(), pa.float64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["i", "threshold", "prior_count", "selected"])
+
+
+class SlicedQuantile:
+    """Linear-interpolation quantile of a growing sample of which only the values near the quantile are at hand.
+
+    ``known`` are (value, times) in order, ``below`` the number of values under
+    them and ``prior`` that of all earlier ones; values added later are kept.
+    """
+
+    def __init__(self, q: float, known: list[tuple[float, int]], below: int, prior: int) -> None:
+        self.q, self.below, self.prior, self.added = q, below, prior, []
+        self.values = [v for v, _ in known]
+        self.upto = list(accumulate(n for _, n in known))
+
+    def __len__(self) -> int:
+        return self.prior + len(self.added)
+
+    def add(self, x: float) -> None:
+        insort(self.added, x)
+
+    def _at(self, place: int) -> float:
+        """The value with ``place`` values before it: the least one, of both lists, up to which there are enough."""
+        want = place + 1 - self.below
+        a = bisect_left(range(len(self.values)), want, key=lambda k: self.upto[k] + bisect_right(self.added, self.values[k]))
+
+        def upto(k: int) -> int:
+            at = bisect_right(self.values, self.added[k])
+            return k + 1 + (self.upto[at - 1] if at else 0)
+
+        b = bisect_left(range(len(self.added)), want, key=upto)
+        return min(self.values[a] if a < len(self.values) else math.inf, self.added[b] if b < len(self.added) else math.inf)
+
+    @property
+    def value(self) -> float:
+        at = (len(self) - 1) * self.q
+        low = self._at(int(at))
+        part = at - int(at)
+        return low if not part else low + (self._at(int(at) + 1) - low) * part
+
+
+def causal_threshold(rows: DataFrame, *, key: str, time: str, ident: str, score: str, fraction: float = 0.1, warmup: int = 50, slice_rows: int = 200_000) -> DataFrame:
     """(ident, threshold, prior_count, selected): the top ``fraction`` judged by strictly earlier scores alone.
 
     Rows of one instant never inform each other.  Null and NaN scores neither
     inform nor pass.  The exact expanding quantile costs O(log n) a row.
+
+    A key with more than ``slice_rows`` rows is cut into slices of time that are
+    walked side by side.  Within a slice of m rows the wanted rank among the
+    earlier scores moves by at most m, so a slice is given the counts of the
+    earlier scores and, one by one, only those near that rank; the result is
+    the same.  Keys are counted when the operator is called.
     """
+    q = 1 - fraction
     data = rows.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(ident).cast("long").alias("i"), F.col(score).cast("double").alias("s"))
     data = data.where("k is not null and t is not null and s is not null and not isnan(s)")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at, waiting, seen = None, None, [], RunningQuantile(1 - fraction)
+        now, at, waiting, seen = None, None, [], RunningQuantile(q)
         for batch in batches:
             out = []
             for k, t, i, s in zip(*[c.to_pylist() for c in batch.columns]):
                 if k != now:
-                    now, at, waiting, seen = k, t, [], RunningQuantile(1 - fraction)
+                    now, at, waiting, seen = k, t, [], RunningQuantile(q)
                 if t != at:
                     for x in waiting:
                         seen.add(x)
@@ -65,12 +124,53 @@ def causal_threshold(rows: DataFrame, *, key: str, time: str, ident: str, score:
                 limit = seen.value if len(seen) >= warmup and len(seen) else None
                 out.append((i, limit, len(seen), limit is not None and s >= limit))
                 waiting.append(s)
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_())],
-                                             names=["i", "threshold", "prior_count", "selected"])
+            yield _threshold_rows(out)
 
-    walked = data.repartition("k").sortWithinPartitions("k", "t", "i").mapInArrow(walk, "i long, threshold double, prior_count long, selected boolean")
-    return walked.withColumnRenamed("i", ident)
+    whole = lambda df: df.repartition("k").sortWithinPartitions("k", "t", "i").mapInArrow(walk, _THRESHOLDS)
+    cuts = hot_slices(data.select("k", "t"), "k", "t", slice_rows)
+    if cuts is None:
+        return whole(data).withColumnRenamed("i", ident)
+
+    def walk_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, waiting, known, seen, start = None, None, [], [], None, (0, 0)
+        for batch in batches:
+            out = []
+            for k, j, t, i, s, n, below, prior in zip(*[c.to_pylist() for c in batch.columns]):
+                if (k, j) != now:
+                    now, at, waiting, known, seen, start = (k, j), None, [], [], None, (0, 0)
+                if t is None:  # what is known of earlier slices comes first
+                    known.append((s, n))
+                    start = (below, prior)
+                    continue
+                if seen is None:
+                    seen = SlicedQuantile(q, known, *start)
+                if t != at:
+                    for x in waiting:
+                        seen.add(x)
+                    at, waiting = t, []
+                limit = seen.value if len(seen) >= warmup and len(seen) else None
+                out.append((i, limit, len(seen), limit is not None and s >= limit))
+                waiting.append(s)
+            yield _threshold_rows(out)
+
+    grid = data.join(F.broadcast(cuts.select("k")), "k").groupBy("k").agg(F.array_distinct(F.percentile_approx("s", [i / 200 for i in range(1, 200)], 10_000)).alias("g"))
+    hot = data.join(F.broadcast(cuts), "k").join(F.broadcast(grid), "k")  # a row with at most 200 numbers for each hot key
+    hot = hot.select("k", "t", "i", "s", F.size(F.filter("bounds", lambda x: F.col("t") > x)).alias("j"), F.size(F.filter("g", lambda x: F.col("s") > x)).alias("b"))
+    counts = hot.groupBy("k", "j", "b").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("k", "j").agg(F.sum("n").alias("m")).withColumn("prior", F.coalesce(F.sum("m").over(Window.partitionBy("k").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cells = sizes.join(counts.select("k", "b").distinct(), "k").join(counts, ["k", "j", "b"], "left")  # slices by ranges of a key
+    cells = cells.withColumn("p", F.coalesce(F.sum("n").over(Window.partitionBy("k", "b").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cells = cells.withColumn("below", F.coalesce(F.sum("p").over(Window.partitionBy("k", "j").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first, last = F.floor((F.col("prior") - 1) * q) - F.col("m"), F.floor((F.col("prior") + F.col("m") - 1) * q) + 1
+    touched = cells.where((F.col("p") > 0) & (F.col("below") <= last) & (F.col("below") + F.col("p") > first)).select("k", "j", "b", "below", "prior")
+    base = touched.groupBy("k", "j").agg(F.min("below").alias("below"), F.max("prior").alias("prior"))
+    values = hot.groupBy("k", F.col("j").alias("e"), "b", "s").agg(F.count(F.lit(1)).alias("n"))
+    near = touched.select("k", "j", "b").join(values, ["k", "b"]).where("e < j").groupBy("k", "j", "s").agg(F.sum("n").alias("n")).join(base, ["k", "j"])
+    no = lambda kind: F.lit(None).cast(kind)
+    feed = near.select("k", "j", no("long").alias("t"), no("long").alias("i"), "s", "n", "below", "prior").unionByName(
+        hot.select("k", "j", "t", "i", "s", no("long").alias("n"), no("long").alias("below"), no("long").alias("prior")))
+    sliced = feed.repartition("k", "j").sortWithinPartitions("k", "j", F.asc_nulls_first("t"), "i", "s").mapInArrow(walk_slice, _THRESHOLDS)
+    return whole(data.join(F.broadcast(cuts.select("k")), "k", "left_anti")).unionByName(sliced).withColumnRenamed("i", ident)
 
 
 def lookback_threshold(rows: DataFrame, *, key: str, time: str, ident: str, score: str, fraction: float, warmup: int, lookback: int) -> DataFrame:
