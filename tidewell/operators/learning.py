@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.joins import asof
+
 
 def _models(rows: DataFrame, period: str) -> list:
     """The periods, in order; one row each reaches the driver."""
@@ -101,12 +103,24 @@ def expanding_fit(rows: DataFrame, *, period: str, estimator: Callable[[], objec
 
 
 def training_percentile(train: DataFrame, test: DataFrame, *, value: str, name: str) -> DataFrame:
-    """Test rows with the share of training values strictly below theirs: one sort of both, no pairs."""
-    n = train.where(F.col(value).isNotNull()).count()
-    both = train.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")).select(F.col(value).alias("__v"), "__n")
-    ranked = both.withColumn("__below", F.sum("__n").over(Window.orderBy("__v")) - F.col("__n"))
-    from tidewell.operators.joins import asof
+    """Test rows with the share of training values strictly below theirs.
 
+    Training values are counted, ranked within at most 1,000 ranges whose
+    totals the driver adds up, and met as of each test value: no pairs, and no
+    task that holds them all.
+    """
+    counts = train.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    cuts = sorted(set(counts.agg(F.percentile_approx("__v", [i / 1000 for i in range(1, 1000)], 10_000).alias("c")).first()["c"] or []))
+    slot = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("__v") > c)) if cuts else F.lit(0)
+    placed = counts.withColumn("__b", slot)
+    totals = {r["__b"]: r["n"] for r in placed.groupBy("__b").agg(F.sum("__n").alias("n")).collect()}
+    offsets, n = [], 0
+    for b in sorted(totals):
+        offsets.append((b, n))
+        n += totals[b]
+    upto = F.sum("__n").over(Window.partitionBy("__b").orderBy("__v")) - F.col("__n")
+    table = train.sparkSession.createDataFrame(offsets, "__b int, __o long")
+    ranked = placed.withColumn("__below", upto).join(F.broadcast(table), "__b").select("__v", (F.col("__below") + F.col("__o")).alias("__below"), "__n")
     one = F.lit(0)
     met = asof(test.withColumn("__k", one), ranked.withColumn("__k", one), key="__k", left_time=value, right_time="__v", values=["__below", "__n"])
     below = F.when(F.col("matched___v") == F.col(value), F.col("matched___below")).otherwise(F.col("matched___below") + F.col("matched___n"))
