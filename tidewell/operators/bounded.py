@@ -4,21 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: Rows up to which a dimension may be broadcast.
-BROADCAST_ROWS = 20_000
+#: Rows, and bytes of their values, up to which a dimension may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 64 << 20
+
+
+def _value_bytes(rows: DataFrame) -> Column:
+    """About the bytes of a row's values."""
+    size = F.lit(0)
+    for field in rows.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif isinstance(kind, (ArrayType, MapType, StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 8
+        else:
+            size = size + 8
+    return size
 
 
 def join_bounded(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "left",
-                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a broadcast only if ``small`` has at most ``max_rows`` rows.
+                 max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a broadcast only if ``small`` has at most ``max_rows`` rows and ``max_bytes`` of values.
 
-    The bound is checked by reading at most ``max_rows + 1`` rows.  A larger
-    side is joined by shuffle, where AQE splits skewed partitions.
+    The bound is checked when the operator is called, by reading at most
+    ``max_rows + 1`` rows; the small side is then made again for the join.  A
+    larger side is joined by shuffle, where AQE splits skewed partitions.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
+    n, size = small.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_value_bytes(small)), F.lit(0))).first()
+    if n <= max_rows and size <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
 
