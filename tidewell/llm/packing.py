@@ -7,7 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,9 +135,11 @@ def packed_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str
     tokens of the rank file ``tokenizer`` below ``TIDEWELL_TOKENIZERS``.
     """
     path = tokenizer or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    documents.sparkSession.sparkContext.addFile(path)  # goes to every executor with the job
+    name = os.path.basename(path)
     items = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     placed = items.mapInArrow(
-        lambda it: _pack(it, capacity, open_bins, path),
+        lambda it: _pack(it, capacity, open_bins, SparkFiles.get(name)),
         "doc_id long, piece int, first_token int, n_tokens int, bin long, bin_start int")
     from tidewell.session import cut_lineage
 
