@@ -55,7 +55,7 @@ def committed_batches(spark, folder):
     path, events = scratch_path(spark, "batches"), _events(spark, folder)
     for kind in ("click", "view", "click"):
         sinks.staged(events.where(F.col("event_type") == kind), path, kind)
-    events.where("event_type = 'error'").withColumn("__batch", F.lit("error")).write.mode("append").partitionBy("__batch").parquet(f"{path}/rows")
+    events.where("event_type = 'error'").withColumn("__batch", F.lit("error")).write.mode("append").partitionBy("__batch").parquet(path)
     return sinks.committed(spark, path)
 
 

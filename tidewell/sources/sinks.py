@@ -72,11 +72,11 @@ def staged(rows: DataFrame, path: str, batch: str) -> None:
     ``committed`` reads named batches only, so one that broke off is not seen;
     writing a batch again replaces it.
     """
-    rows.withColumn("__batch", F.lit(batch)).write.mode("overwrite").partitionBy("__batch").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/rows")
-    rows.sparkSession.createDataFrame([(batch,)], "__batch string").coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    rows.withColumn("__batch", F.lit(batch)).write.mode("overwrite").partitionBy("__batch").option("partitionOverwriteMode", "dynamic").parquet(path)
+    rows.sparkSession.createDataFrame([(batch,)], "__batch string").coalesce(1).write.mode("append").parquet(f"{path}/_commits")
 
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
     """The rows of all batches that were written whole."""
-    whole = spark.read.parquet(f"{path}/commits").distinct()
-    return spark.read.parquet(f"{path}/rows").withColumn("__batch", F.col("__batch").cast("string")).join(whole, "__batch", "left_semi").drop("__batch")
+    whole = spark.read.parquet(f"{path}/_commits").distinct()
+    return spark.read.parquet(path).withColumn("__batch", F.col("__batch").cast("string")).join(whole, "__batch", "left_semi").drop("__batch")
