@@ -65,7 +65,7 @@ def resolved(names: DataFrame, index: DataFrame, *, name: str, index_name: str,
     found = (
         F.when(F.col("exact").isNotNull() & (F.col("norm") != ""), F.when(~unclear, F.struct(F.col("exact").alias("k"), F.lit("exact").alias("label"))))
         .when(F.col("fund") | (bare & (F.coalesce("sole", F.lit(0)) != 1)) | (F.col("n") == 0), F.lit(None))
-        .when(F.col("many").isNotNull(), F.when((F.col("many") == 1) | (F.col("n") > 1), F.struct(F.col("ck").alias("k"), F.format_string("containment_%.2f", "cj").alias("label"))))
+        .when(F.col("many").isNotNull(), F.when((F.col("many") == 1) | (F.col("n") > 1), F.struct(F.col("ck").alias("k"), F.format_string("containment_%.2f", F.bround("cj", 2)).alias("label"))))
         .when(short & ~F.col("legal") & (F.col("n") == 2), F.lit(None))
-        .when(loose.isNotNull(), F.struct(loose["k"].alias("k"), F.format_string("fuzzy_%.2f", loose["j"]).alias("label"))))
+        .when(loose.isNotNull(), F.struct(loose["k"].alias("k"), F.format_string("fuzzy_%.2f", F.bround(loose["j"], 2)).alias("label"))))
     return met.select(F.col("q").alias(name), found.alias("f")).select(name, F.col("f.k").alias(key), F.col("f.label").alias("label"))

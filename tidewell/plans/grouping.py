@@ -240,13 +240,13 @@ def account_ledger(spark, folder):
 
 
 @plans.query("cohort_returns", """
-    WITH p AS (SELECT o_orderpriority AS ticker, o_orderdate::DATE AS d, avg(o_totalprice) / 1000 AS c FROM orders GROUP BY 1, 2), r AS (SELECT ticker, d, tanh(c / 100 - 1.5::DOUBLE) * 0.99 AS r, row_number() OVER (PARTITION BY ticker ORDER BY d) AS n, count(*) OVER (PARTITION BY ticker) AS m FROM p),
+    WITH p AS (SELECT o_orderpriority AS ticker, o_orderdate::DATE AS d, avg(o_totalprice) / 997 AS c FROM orders GROUP BY 1, 2), r AS (SELECT ticker, d, tanh(c / 100 - 1.5::DOUBLE) * 0.99 AS r, row_number() OVER (PARTITION BY ticker ORDER BY d) AS n, count(*) OVER (PARTITION BY ticker) AS m FROM p),
     s AS (SELECT o_orderstatus AS lane, o_orderpriority AS ticker, o_orderdate::DATE AS e FROM orders WHERE o_orderkey % 5 = 0), f AS (SELECT lane, s.ticker, e, (SELECT min(n) FROM r WHERE r.ticker = s.ticker AND r.d >= e) AS n, (SELECT max(n) FROM r WHERE r.ticker = s.ticker) AS m FROM s)
     SELECT lane, strftime(r.d, '%Y-%m-%d') AS day, count(*) AS n, round(avg(greatest(-0.95::DOUBLE, r.r - 0.02::DOUBLE / 252)) + 0.3::DOUBLE * 0.001::DOUBLE, 6) AS ret FROM f JOIN r ON r.ticker = f.ticker AND r.n > f.n AND r.n <= f.n + 20 WHERE f.n + 20 <= f.m GROUP BY lane, r.d""")
 def cohort_returns(spark, folder):
     """Overlapping positions of 20 rows by order status, borrowed and hedged; the sample of orders is the signal."""
     orders = load(spark, folder, "orders")
-    closes = orders.groupBy(F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("day")).agg((F.avg("o_totalprice") / 1000).alias("c"))
+    closes = orders.groupBy(F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("day")).agg((F.avg("o_totalprice") / 997).alias("c"))
     returns = closes.select("ticker", "day", (F.tanh(F.col("c") / 100 - 1.5) * 0.99).alias("ret"), F.lit(0.001).alias("bench"))
     signals = orders.where("o_orderkey % 5 = 0").select(F.col("o_orderstatus").alias("lane"), F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("entry_day"))
     found = P.cohorts(signals, returns, lane="lane", horizon=20, borrow=0.02, hedge=0.3)

@@ -13,14 +13,14 @@ from tidewell.sources import load
 
 plans = Registry()
 
-_SERIES = "WITH p AS (SELECT o_orderpriority AS asset, o_orderdate::DATE AS d, avg(o_totalprice) / 1000 AS c, count(*) AS v FROM orders GROUP BY 1, 2) "
+_SERIES = "WITH p AS (SELECT o_orderpriority AS asset, o_orderdate::DATE AS d, avg(o_totalprice) / 997 AS c, count(*) AS v FROM orders GROUP BY 1, 2) "
 _KEY = "asset, strftime(d, '%Y-%m-%d') AS day"
 
 
 def series(spark, folder):
     """A close and a volume for each asset and day: orders by priority."""
     return load(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("asset"), F.to_date("o_orderdate").alias("d")).agg(
-        (F.avg("o_totalprice") / 1000).alias("c"), F.count(F.lit(1)).alias("v"))
+        (F.avg("o_totalprice") / 997).alias("c"), F.count(F.lit(1)).alias("v"))
 
 
 def _shown(rows, *columns):

@@ -123,15 +123,15 @@ def exact_replicates(spark, folder):
 
 
 _MARKET = """
-    WITH p AS (SELECT o_orderpriority AS asset, o_orderdate::DATE AS d, avg(o_totalprice) / 1000 AS c FROM orders GROUP BY 1, 2), b AS (SELECT d, avg(c) AS b FROM p GROUP BY d),
-    r AS (SELECT asset, d, tanh(c / 100 - 1.5::DOUBLE) / 50 AS r, tanh(b / 100 - 1.5::DOUBLE) / 50 AS m, 0.0001::DOUBLE AS f FROM p JOIN b USING (d))
+    WITH p AS (SELECT o_orderpriority AS asset, o_orderdate::DATE AS d, avg(o_totalprice) / 997 AS c FROM orders GROUP BY 1, 2), b AS (SELECT d, avg(c) AS b FROM p GROUP BY d),
+    r AS (SELECT asset, d, tanh(c / 100 - 2.5::DOUBLE) / 50 AS r, tanh(b / 100 - 2.5::DOUBLE) / 50 AS m, 0.0001::DOUBLE AS f FROM p JOIN b USING (d))
 """
 
 
 def _returns(spark, folder):
     closes = series(spark, folder)
     market = closes.groupBy("d").agg(F.avg("c").alias("b"))
-    bound = lambda c: F.tanh(F.col(c) / 100 - 1.5) / 50
+    bound = lambda c: F.tanh(F.col(c) / 100 - 2.5) / 50
     return closes.join(market, "d").select("asset", "d", bound("c").alias("r"), bound("b").alias("m"), F.lit(0.0001).alias("f"))
 
 
