@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import pyarrow as pa
 import xxhash
@@ -29,13 +29,18 @@ def _edits(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 7 else 2
 
 
+def _batched(rows: Iterator[tuple], first: str, second: str, kind: pa.DataType, size: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Pairs as batches of a bounded number of rows."""
+    while part := list(islice(rows, size)):
+        a, b = zip(*part)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, kind)], names=[first, second])
+
+
 def _delete_rows(words: DataFrame, name: str) -> DataFrame:
     """(``name``, form): each distinct word with the hashes of its deletes."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for word in batch.column(0).to_pylist():  # a long word has many deletes: one batch each
-                forms = [xxhash.xxh3_64_intdigest(f) >> 1 for f in deletes(word, _edits(word))]
-                yield pa.RecordBatch.from_arrays([pa.array([word] * len(forms)), pa.array(forms, pa.int64())], names=[name, "form"])
+        rows = ((word, xxhash.xxh3_64_intdigest(f) >> 1) for batch in batches for word in batch.column(0).to_pylist() for f in deletes(word, _edits(word)))
+        return _batched(rows, name, "form", pa.int64())
 
     return spread(words).mapInArrow(emit, f"{name} string, form long")
 
@@ -58,7 +63,7 @@ def own_words(values: DataFrame, listed: DataFrame, longest: int) -> DataFrame:
     A word longer than two registered ones and the known words that may be cut
     off around them has no such piece.
     """
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pieces = set()
@@ -68,9 +73,9 @@ def own_words(values: DataFrame, listed: DataFrame, longest: int) -> DataFrame:
                         pieces.add(word)
                     if 7 <= n <= 2 * longest + 100:
                         pieces |= {word[a:b] for a in range(n - 3) for b in range(a + 4, min(n, a + longest) + 1) if n > 12 or a == 0 or b == n}
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(pieces), pa.int64()), pa.array(list(pieces), pa.string())], names=["id", "own"])
+                yield from ((key, piece) for piece in pieces)
 
-    pieces = spread(values.select("id", "value"), "id").mapInArrow(emit, "id long, own string")
+    pieces = spread(values.select("id", "value"), "id").mapInArrow(lambda it: _batched(cut(it), "id", "own", pa.string()), "id long, own string")
     stems = listed.where("parts is not null").select("own").distinct()
     known = pieces.join(stems, "own", "left_semi").groupBy("id").agg(F.collect_set("own").alias("known"))
     return values.join(known, "id", "left").select("id", "value", F.coalesce(F.array_sort("known"), F.array().cast("array<string>")).alias("known"))
