@@ -1,8 +1,8 @@
 import pytest
 
 from tidewell.llm.canonical import mapped_values
-from tidewell.llm.linking import best_fit, index_codes, index_forms, query_codes, query_forms
-from tidewell.llm.names import damerau, lcs_ratio, split_words
+from tidewell.llm.linking import best_fit, index_codes, index_forms, query_codes, query_forms, readings
+from tidewell.llm.names import damerau, lcs_ratio, parse, split_words
 from tidewell.llm.variants import linked_answers, linked_to
 
 UNIVERSE = [
@@ -66,6 +66,12 @@ def test_names_of_listed_or_short_words_are_met_and_fit():
     assert {f[2:] for f in query_forms("BP")} & {f[:2] for f in index_forms(["bp", "plc"])}
 
 
+def test_listed_words_stay_whole_when_words_are_taken_apart():
+    for typed, company in (("SusannahCrieccheglimandPartnersHoldingsLimited", "Susannah Criecheglim & Partners Holdings Ltd."), ("HejebaildResourcesplc", "Hejebaild Resources PLC"), ("BenjaminGreaacugleanandSons,Corp.", "Benjamin Greacuglean & Sons Corp")):
+        own = parse(split_words(company), exact=True).stems
+        assert any(name.stems and all(lcs_ratio(s, o) >= 0.8 for s, o in zip(name.stems, own)) and len(name.stems) == len(own) for name in readings(typed)[0])
+
+
 def linked(spark, names, typed, **options):
     reference = spark.createDataFrame([(str(i), n, []) for i, n in enumerate(names)], "entity string, name string, tickers array<string>")
     return {r["value"]: names[int(r["entity"])] for r in linked_to(spark.createDataFrame([(t,) for t in typed], "value string"), reference, **options).collect()}

@@ -274,7 +274,7 @@ def unglued(words: list[str], stems: frozenset[str] | set[str]) -> list[str]:
     """Words written together taken apart: the longest known word at either end of a long word is split off."""
 
     def cut(word: str, depth: int) -> list[str]:
-        if word in stems or len(word) < 7 or depth > 5:
+        if word in stems or word in _ENDS or len(word) < 7 or depth > 5:
             return [word]
         middle = next((m.start() for m in re.finditer("and", word) if word[:m.start()] in stems and word[m.end():] in stems), None) if stems else None
         if middle is not None:
