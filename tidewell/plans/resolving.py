@@ -104,9 +104,14 @@ def exploded_maps(spark, folder):
 @plans.query("kept_last", """
     SELECT signal_id, epoch_us(loaded_at) AS loaded, round(score, 6) AS score FROM (SELECT signal_id, loaded_at, score, row_number() OVER (PARTITION BY signal_id ORDER BY loaded_at DESC) AS k FROM p_plus20_current) WHERE k = 1""")
 def kept_last(spark, folder):
-    """The last load of each signal: one aggregation, no window."""
+    """The last load of each signal: one aggregation, no window; a NaN stays NaN, and of loads at one time the highest score stands.
+
+    Scores are scaled and rounded as doubles, as the SQL does: halves of their decimals may fall otherwise.
+    """
     rows = load(spark, folder, "p_plus20_current").groupBy("signal_id").agg(F.max(F.struct("loaded_at", "score")).alias("v"))
-    return rows.select("signal_id", F.unix_micros("v.loaded_at").alias("loaded"), F.round(F.nanvl("v.score", F.lit(None).cast("double")), 6).alias("score"))
+    score = F.col("v.score")
+    rounded = F.when(F.abs(score * 1e6) < float("inf"), F.round(score * 1e6) / 1e6).otherwise(score)
+    return rows.select("signal_id", F.unix_micros("v.loaded_at").alias("loaded"), rounded.alias("score"))
 
 
 @plans.query("coerced_numbers", "SELECT l_orderkey, l_linenumber, l_partkey, sum(l_extendedprice::DECIMAL(12, 2))::DOUBLE AS price FROM lineitem GROUP BY ALL")
